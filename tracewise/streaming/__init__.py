@@ -1,0 +1 @@
+"""Empty on purpose: traces and power files are read after a run has ended."""
