@@ -433,7 +433,7 @@ for _round, _value in enumerate(
         f"SELECT sample_id, stream, j, ({_value}) & 2147483647 AS h FROM {_previous}"
     )
     _CTES[f"synth_{_round}b"] = (
-        "SELECT sample_id, stream, j, (xor(h, h >> 16) * 2146120749) & 2147483647 AS h"
+        "SELECT sample_id, stream, j, (xor(h, h >> 16) * 2146121005) & 2147483647 AS h"
         f" FROM synth_{_round}a"
     )
     _CTES[f"synth_{_round}c"] = (

@@ -24,11 +24,16 @@ from tracewise.sources.inventory import run_inventory
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+@lru_cache(maxsize=4)
+def staging(spark: SparkSession) -> Staging:
+    return Staging(spark)
+
+
 @lru_cache(maxsize=4)
 def analysis(spark: SparkSession, sf_dir: str) -> TraceAnalysis:
     """The derived traces and everything the queries share, once per folder."""
-    staging = Staging(spark)
-    return TraceAnalysis(staged_tables(spark, sf_dir, staging), staging)
+    tables = staged_tables(spark, sf_dir, staging(spark))
+    return TraceAnalysis(tables, staging(spark))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -261,7 +266,7 @@ def bag_offsets(spark, sf_dir):
         bags.explode_bags(_synthetic(spark, sf_dir))
         .withColumn("ids", F.slice("ids", F.lit(1), F.size(kept)))
     )
-    return bags.bag_offsets(sized, analysis(spark, sf_dir).staging)
+    return bags.bag_offsets(sized, staging(spark))
 
 
 WIDTH = 64
@@ -347,8 +352,7 @@ def score_model(spark, sf_dir):
 
 def temporal_split(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
-    staging = analysis(spark, sf_dir).staging
-    return split.temporal_split(events, "ts", "event_id", staging).select(
+    return split.temporal_split(events, "ts", "event_id", staging(spark)).select(
         "event_id", "user_id", "stage"
     )
 

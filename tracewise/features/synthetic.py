@@ -10,22 +10,30 @@ from pyspark.sql import functions as F
 _MASK = 0x7FFFFFFF
 
 
-def _mix(value: Column) -> Column:
-    """A 31-bit hash by multiplying and shifting; no step exceeds 64 bits."""
-    mask = F.lit(_MASK)
-    h = value.bitwiseAND(mask)
-    h = h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(0x7FEB352D)
-    h = h.bitwiseAND(mask)
-    h = h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(0x46CA68B5)
-    h = h.bitwiseAND(mask)
-    return h.bitwiseXOR(F.shiftright(h, 16))
+def _multiply(shift: int, factor: int):
+    return lambda h: (h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(factor)).bitwiseAND(
+        F.lit(_MASK)
+    )
+
+
+def _mix(values: Column) -> Column:
+    """A 31-bit hash of each value, by multiplying and shifting in 64 bits.
+
+    One pass over the array per step, as a step uses the previous result twice.
+    """
+    h = F.transform(values, lambda h: h.bitwiseAND(F.lit(_MASK)))
+    h = F.transform(h, _multiply(16, 0x7FEB352D))
+    h = F.transform(h, _multiply(15, 0x46CA68B5))
+    return F.transform(h, lambda h: h.bitwiseXOR(F.shiftright(h, 16)))
 
 
-def uniform(sample: Column, stream: Column, position: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the arguments only, not on partitions."""
-    h = _mix(sample + F.lit(seed))
-    h = _mix(h + stream * F.lit(1_000_003))
-    return _mix(h + position * F.lit(10_007)) / F.lit(float(_MASK + 1))
+def uniform(sample: Column, stream: int, count: int, seed: int) -> Column:
+    """``count`` numbers in [0, 1). They depend on the arguments only, not on partitions."""
+    h = _mix(F.array(sample + F.lit(seed)))
+    h = _mix(F.transform(h, lambda h: h + F.lit(stream * 1_000_003)))
+    repeated = F.array_repeat(F.get(h, F.lit(0)), count)
+    h = _mix(F.transform(repeated, lambda h, j: h + j * F.lit(10_007)))
+    return F.transform(h, lambda h: h / F.lit(float(_MASK + 1)))
 
 
 def synthetic_features(
@@ -43,25 +51,18 @@ def synthetic_features(
     """
     sample = F.col("sample_id")
 
-    def numbers(count: int, stream: int, convert) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")),
-            lambda j: convert(uniform(sample, F.lit(stream).cast("bigint"), j, seed)),
-        )
-
     def bag(table: int, size: int) -> Column:
-        candidates = numbers(
-            ids_per_lookup * len(table_sizes),
-            table + 1,
+        candidates = F.transform(
+            uniform(sample, table + 1, ids_per_lookup * len(table_sizes), seed),
             lambda u: F.rint(u * F.lit(size - 1)).cast("bigint"),
         )
-        ids = F.slice(F.array_sort(F.array_distinct(candidates)), 1, ids_per_lookup)
-        return F.when(F.size(ids) == ids_per_lookup, ids).otherwise(
-            F.raise_error(F.lit(f"table {table} has too few ids for {ids_per_lookup} per lookup"))
-        )
+        return F.slice(F.array_sort(F.array_distinct(candidates)), 1, ids_per_lookup)
 
-    return samples.select(
+    features = samples.select(
         "sample_id",
-        numbers(dense_size, 0, lambda u: u).alias("dense"),
+        uniform(sample, 0, dense_size, seed).alias("dense"),
         F.array(*[bag(t, size) for t, size in enumerate(table_sizes)]).alias("bags"),
     )
+    full = F.forall("bags", lambda ids: F.size(ids) == ids_per_lookup)
+    few = F.raise_error(F.lit(f"a table has fewer than {ids_per_lookup} distinct ids for a sample"))
+    return features.withColumn("bags", F.when(full, F.col("bags")).otherwise(few))

@@ -19,7 +19,7 @@ SETTINGS = {
 
 
 def get_session(app_name: str = "tracewise", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings above; ``conf`` keys use ``_`` for ``.``-free names."""
+    """A session with the settings above; ``conf`` adds to or replaces them."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -74,7 +74,7 @@ class Staging:
         fs.deleteOnExit(jpath)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
