@@ -54,20 +54,23 @@ def _workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _inner_spans(workers: DataFrame) -> DataFrame:
+def _step_spans(workers: DataFrame) -> DataFrame:
+    """The spans of every worker's step: the step itself as slot -1, then what is in it."""
     allowed = " ".join(f"WHEN {n} THEN {w}" for n, (_, _, w, _) in _SLOTS.items())
     text = " ".join(
         f"""WHEN {n} THEN concat('{{"event": "{event}", "name": "{name}", ', {fields}, '}}')"""
         for n, (event, name, _, fields) in _SLOTS.items()
     )
+    inference = """concat('{"event": "inference", "name": "inference", "rank": ', rk,
+        ', "local_rank": ', rk, ', "step": ', step, ', "batch_size": ', bs, '}')"""
     return (
-        workers.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))))
-        .filter(f"CASE slot {allowed} END")
-        .selectExpr("*", "t0 + 1000 + slot * 900000 AS s")
+        workers.selectExpr("*", "explode(sequence(-1L, 8L)) AS slot")
+        .filter(f"CASE slot {allowed} ELSE true END")
+        .selectExpr("*", "if(slot < 0, t0, t0 + 1000 + slot * 900000) AS s")
         .selectExpr(
             "*",
-            "s + 200000 + (k * 104729 + slot * 1299709) % 500000 AS e",
-            f"CASE slot {text} END AS text",
+            "if(slot < 0, t0 + 9000000, s + 200000 + (k * 104729 + slot * 1299709) % 500000) AS e",
+            f"CASE slot WHEN -1 THEN {inference} {text} END AS text",
         )
     )
 
@@ -82,29 +85,23 @@ def _as(table: str, df: DataFrame, *expressions: str) -> DataFrame:
 def trace_tables(spark: SparkSession, sf_dir: str) -> TraceTables:
     """The derived tables as lazy plans."""
     workers = _workers(spark, sf_dir)
-    inner = _inner_spans(workers)
+    spans_of_steps = _step_spans(workers)
+    inner = spans_of_steps.filter("slot >= 0")
 
-    inference = _as(
-        "spans", workers, "run_id", "globalTid", "59 AS eventType", "t0 AS start",
-        "t0 + 9000000 AS end",
-        """concat('{"event": "inference", "name": "inference", "rank": ', rk,
-           ', "local_rank": ', rk, ', "step": ', step, ', "batch_size": ', bs, '}') AS text""",
-    )
-    real = _as("spans", inner, "run_id", "globalTid", "59 AS eventType", "s AS start", "e AS end",
-               "text")
-    decoys = _as(
-        "spans",
-        inner.filter("slot IN (0, 5)").selectExpr(
-            "run_id", "globalTid",
-            """explode(CASE WHEN slot = 0
-               THEN array(
-                 named_struct('eventType', 34, 's', s + 5, 'text', '{"event": "input"}'),
-                 named_struct('eventType', 59, 's', s + 5, 'text', cast(NULL AS string)))
-               ELSE array(named_struct('eventType', 59, 's', s + 7, 'text', '')) END) AS d""",
-        ),
-        "run_id", "globalTid", "d.eventType", "d.s AS start", "d.s + 1 AS end", "d.text",
+    # With decoys inside the first slot and the sixth.
+    spans = spans_of_steps.selectExpr(
+        "run_id", "globalTid",
+        """explode(array_compact(array(
+             named_struct('type', 59, 's', s, 'e', e, 'text', text),
+             if(slot = 0, named_struct('type', 34, 's', s + 5, 'e', s + 6,
+                                       'text', '{"event": "input"}'), NULL),
+             if(slot = 0, named_struct('type', 59, 's', s + 5, 'e', s + 6,
+                                       'text', cast(NULL AS string)), NULL),
+             if(slot = 5, named_struct('type', 59, 's', s + 7, 'e', s + 8, 'text', ''), NULL)
+           ))) AS span""",
     )
-    spans = inference.unionByName(real).unionByName(decoys)
+    spans = _as("spans", spans, "run_id", "globalTid", "span.type AS eventType", "span.s AS start",
+                "span.e AS end", "span.text")
 
     calls = inner.selectExpr(
         "*",

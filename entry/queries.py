@@ -36,6 +36,12 @@ def analysis(spark: SparkSession, sf_dir: str) -> TraceAnalysis:
     return TraceAnalysis(tables, staging(spark))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer splits than there are of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Averages of doubles depend on the order in the last digits; compare whole numbers."""
     return df.withColumns({c: F.round(c).cast("bigint") for c in columns})
@@ -219,7 +225,7 @@ TABLE_SIZES = [1000, 50_000, 47_000_000]
 
 def _synthetic(spark, sf_dir):
     samples = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS sample_id")
-    return synthetic.synthetic_features(samples, 4, TABLE_SIZES, 5, seed=8867)
+    return synthetic.synthetic_features(_spread(samples), 4, TABLE_SIZES, 5, seed=8867)
 
 
 def synth_features(spark, sf_dir):
@@ -237,8 +243,9 @@ def synth_features(spark, sf_dir):
 
 def _order_bags(spark, sf_dir) -> DataFrame:
     """Per order, the parts and the suppliers of its lines as ids of two tables."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        _spread(lines.select("l_orderkey", "l_partkey", "l_suppkey"))
         .select(
             F.col("l_orderkey").alias("sample_id"),
             F.explode(
@@ -326,7 +333,7 @@ def _layer(outputs: int, inputs: int) -> tuple[np.ndarray, np.ndarray]:
 def _dense(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     parts = ["o_custkey % 10", "floor(o_totalprice) % 10", "day(o_orderdate)", "month(o_orderdate)"]
-    return orders.select(
+    return _spread(orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")).select(
         F.col("o_orderkey").alias("sample_id"),
         F.array(*[F.expr(p).cast("double") for p in parts]).alias("dense"),
     )

@@ -26,7 +26,11 @@ def bag_offsets(bags: DataFrame, staging: Staging) -> DataFrame:
 
     Samples are in the order of their id.
     """
-    sizes = bags.select("sample_id", "table_id", F.size("ids").cast("bigint").alias("size"))
+    # Written first: ordering reads its input twice, and bags may be costly to make.
+    sizes = staging.table(
+        "bag_sizes",
+        bags.select("sample_id", "table_id", F.size("ids").cast("bigint").alias("size")),
+    )
     totals = running_total(
         sizes, ["sample_id"], F.col("size"), "upto", staging, per=["table_id"]
     )

@@ -2,15 +2,17 @@
 
 An interval is inside another when it starts strictly after it and ends
 strictly before it. As a plain join this compares every row with every interval
-of the same key. Here each outer interval is filed under time buckets whose
-width fits its own duration, so that
+of the same key. Here each outer interval is filed under time buckets of a width
+that fits its duration. The widths, powers of two, follow the durations that the
+outer side has: the longest gets one that it fits into, which also serves those
+down to 1/64 of it, the longest of the rest gets the next, and so on. Then
 
-* an outer row becomes at most 17 rows, whatever its duration, and
-* an inner row meets, per width in use, only the few outer intervals of a
-  similar duration around it, even when short and long ones are mixed.
+* an outer row becomes one or two rows, whatever its duration,
+* an inner row becomes one row per width, usually one or two, and
+* it meets only outer intervals near it that are not much shorter than the
+  bucket, even when short and long ones are mixed.
 
-Widths are powers of 256 ns, so traces use one or two of them as a rule. The
-join is an equi-join, which adaptive execution splits where a key is hot.
+The join is an equi-join, which adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -20,19 +22,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LEVEL_BITS = 8
-_TOP_LEVEL = 7
+# Durations that share a width differ by at most two to this power.
+_SPREAD = 7
 
 
-def _level(duration: Column) -> Column:
-    """Width class of a duration; grows with it."""
+def _exponent(duration: Column) -> Column:
+    """Position of the highest bit of a duration; grows with it."""
     bits = F.floor(F.log2(F.greatest(duration, F.lit(1))))
-    level = F.floor((bits + F.lit(_LEVEL_BITS // 2)) / F.lit(_LEVEL_BITS))
-    return F.least(level, F.lit(_TOP_LEVEL)).cast("int")
+    return F.least(bits, F.lit(62)).cast("int")
+
+
+def _widths(exponents: Column) -> Column:
+    """Bits of the bucket widths for a set of exponents, widest first."""
+    return F.aggregate(
+        F.reverse(F.array_sort(exponents)),
+        F.array().cast("array<int>"),
+        lambda widths, e: F.when(
+            (F.size(widths) == 0) | (e < F.element_at(widths, -1) - _SPREAD),
+            F.array_append(widths, e + 1),
+        ).otherwise(widths),
+    )
 
 
 def _bucket(time: str) -> Column:
-    return F.expr(f"shiftright(`{time}`, _level * {_LEVEL_BITS})")
+    return F.expr(f"shiftright(`{time}`, _width)")
 
 
 def contained_in(
@@ -47,32 +60,37 @@ def contained_in(
     match. Intervals with a NULL end or ``end < start`` neither contain nor are
     contained.
     """
+    proper = outer.filter(F.col("end") > F.col("start")).select(
+        *keys,
+        *carry,
+        F.col("start").alias("_outer_start"),
+        F.col("end").alias("_outer_end"),
+        _exponent(F.col("end") - F.col("start")).alias("_exponent"),
+    )
+    # At most nine values, read by one small aggregation before the join.
+    widths = (
+        proper.agg(F.collect_set("_exponent").alias("exponents"))
+        .select(_widths(F.col("exponents")))
+        .scalar()
+    )
     filed = (
-        outer.filter(F.col("end") > F.col("start"))
-        .select(
-            *keys,
-            *carry,
-            F.col("start").alias("_outer_start"),
-            F.col("end").alias("_outer_end"),
-            _level(F.col("end") - F.col("start")).alias("_level"),
+        proper.withColumn("_width", F.explode(widths))
+        .filter(F.col("_exponent").between(F.col("_width") - _SPREAD, F.col("_width") - 1))
+        .withColumn(
+            "_bucket", F.explode(F.sequence(_bucket("_outer_start"), _bucket("_outer_end")))
         )
+        .drop("_exponent")
     )
-    # At most eight values, read by one small aggregation before the join.
-    levels = filed.agg(F.collect_set("_level")).scalar()
-    filed = filed.withColumn(
-        "_bucket", F.explode(F.sequence(_bucket("_outer_start"), _bucket("_outer_end")))
-    )
-
-    # Only an interval of the same width class or a longer one can be around.
+    # What surrounds an interval is longer, so narrower buckets cannot hold it.
     probes = (
         inner.filter(F.col("end") >= F.col("start"))
-        .withColumn("_level", F.explode(levels))
-        .filter(F.col("_level") >= _level(F.col("end") - F.col("start")))
+        .withColumn("_width", F.explode(widths))
+        .filter(F.col("_width") > _exponent(F.col("end") - F.col("start")))
         .withColumn("_bucket", _bucket("start"))
     )
     # An inner row has one bucket per width, so a pair meets only once.
     return (
-        probes.join(filed, [*keys, "_level", "_bucket"])
+        probes.join(filed, [*keys, "_width", "_bucket"])
         .filter((F.col("start") > F.col("_outer_start")) & (F.col("end") < F.col("_outer_end")))
-        .drop("_level", "_bucket", "_outer_start", "_outer_end")
+        .drop("_width", "_bucket", "_outer_start", "_outer_end")
     )

@@ -76,7 +76,7 @@ class TraceAnalysis:
 
     @cached_property
     def layer_stats(self) -> DataFrame:
-        return stats.layer_stats(self.host_stats, self.device_stats)
+        return stats.layer_stats(self.step_spans, self.step_device)
 
     @cached_property
     def worker_stats(self) -> DataFrame:

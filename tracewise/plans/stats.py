@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.plans.calls import split_wait
-from tracewise.schemas import STEP_KEYS
+from tracewise.schemas import EVENT_CALLS, STEP_KEYS
 
 # Inputs and outputs are not told apart by name, so their layer is ''.
 LAYER_KEYS = [*STEP_KEYS, "event_name", "layer"]
+_EVENTS = list(EVENT_CALLS)
 
 
 def _with_layer(df: DataFrame) -> DataFrame:
@@ -24,8 +25,7 @@ def _with_layer(df: DataFrame) -> DataFrame:
 def host_stats(steps: DataFrame) -> DataFrame:
     """Span side. ``duration`` is that of the earliest span; bytes are sums."""
     return (
-        _with_layer(steps.filter(F.col("event_name").isin("input", "compute", "communication",
-                                                          "output")))
+        _with_layer(steps.filter(F.col("event_name").isin(_EVENTS)))
         .groupBy(*LAYER_KEYS)
         .agg(
             F.min_by("globalTid", "start").alias("globalTid"),
@@ -109,22 +109,50 @@ def step_communication_transfer_device_stats(communication: DataFrame) -> DataFr
     return _of(communication, "communication", F.col("transfer").alias("duration"))
 
 
-def layer_stats(host: DataFrame, device: DataFrame) -> DataFrame:
-    """Host and device side of every event that has both."""
-    right = device.select(
-        *LAYER_KEYS,
-        F.col("bytes").alias("device_bytes"),
+def layer_stats(steps: DataFrame, device: DataFrame) -> DataFrame:
+    """Host and device side of every event that has both, in one aggregation.
+
+    Spans and device work are combined by their keys instead of being aggregated
+    apart and joined, so both are reduced before the same single shuffle.
+    """
+    spans = steps.filter(F.col("event_name").isin(_EVENTS)).select(
+        *STEP_KEYS, "event_name", "event_value", "globalTid", "start", "duration", "bytes",
+        "send_bytes", "recv_bytes", F.lit(1).alias("spans"),
+    )
+    work = device.filter(F.col("event_name").isin("input", "compute", "output")).select(
+        *STEP_KEYS, "event_name", "event_value", "throughput",
         F.col("duration").alias("device_duration"),
-        "throughput", "wait", "transfer",
+        F.col("bytes").alias("device_bytes"),
+        F.lit(1).alias("works"),
     )
-    left = host.select(
-        *LAYER_KEYS, "globalTid",
-        F.col("duration").alias("host_duration"),
-        F.col("duration_sum").alias("host_duration_sum"),
-        F.col("bytes").alias("host_bytes"),
-        "send_bytes", "recv_bytes",
+    kernels = split_wait(device.filter(F.col("event_name") == "communication")).select(
+        *STEP_KEYS, "event_name", "event_value", "wait", "transfer", F.lit(1).alias("works")
+    )
+    both = spans.unionByName(work, allowMissingColumns=True).unionByName(
+        kernels, allowMissingColumns=True
+    )
+    return (
+        _with_layer(both)
+        .na.drop(subset=LAYER_KEYS)
+        .groupBy(*LAYER_KEYS)
+        .agg(
+            F.count("spans").alias("spans"),
+            F.count("works").alias("works"),
+            F.min_by("globalTid", "start").alias("globalTid"),
+            F.min_by("duration", "start").alias("host_duration"),
+            F.sum("duration").alias("host_duration_sum"),
+            F.sum("bytes").alias("host_bytes"),
+            F.sum("send_bytes").alias("send_bytes"),
+            F.sum("recv_bytes").alias("recv_bytes"),
+            F.sum("device_duration").alias("device_duration"),
+            F.sum("device_bytes").alias("device_bytes"),
+            F.avg("throughput").alias("throughput"),
+            F.sum("wait").alias("wait"),
+            F.sum("transfer").alias("transfer"),
+        )
+        .filter((F.col("spans") > 0) & (F.col("works") > 0))
+        .drop("spans", "works")
     )
-    return left.join(right, LAYER_KEYS)
 
 
 _HOST = ["host_duration", "host_duration_sum"]
