@@ -638,11 +638,8 @@ def _queries() -> dict[str, str]:
             SELECT table_id::INTEGER AS table_id, sample_id, size,
                    (sum(size) OVER (PARTITION BY table_id ORDER BY sample_id) - size)::BIGINT
                      AS "offset"
-            FROM (SELECT table_id, sample_id,
-                         (CASE WHEN sample_id % 2 = 0 THEN 1 ELSE 0 END
-                        + CASE WHEN sample_id % 3 = 0 THEN 1 ELSE 0 END
-                        + CASE WHEN sample_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS size
-                  FROM synth_bags)""",
+            FROM (SELECT table_id, sample_id, count(*) AS size FROM bag_ids
+                  GROUP BY table_id, sample_id)""",
         "embedding_bag_sum": """
             SELECT b.sample_id, b.table_id, b.missing,
                    coalesce(p.pooled, array_to_string(list_transform(range(0, 64), lambda i: 0), ','))

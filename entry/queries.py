@@ -265,15 +265,12 @@ def flatten_bags(spark, sf_dir):
 
 
 def bag_offsets(spark, sf_dir):
-    # Sizes that vary: as many ids as the sample's number has divisors among 2, 3, 5.
-    kept = F.filter(
-        F.array(F.lit(2), F.lit(3), F.lit(5)), lambda d: F.col("sample_id") % d == 0
+    sizes = (
+        _order_bags(spark, sf_dir)
+        .groupBy("sample_id", "table_id")
+        .agg(F.count("idx").alias("size"))
     )
-    sized = (
-        bags.explode_bags(_synthetic(spark, sf_dir))
-        .withColumn("ids", F.slice("ids", F.lit(1), F.size(kept)))
-    )
-    return bags.bag_offsets(sized, staging(spark))
+    return bags.bag_offsets(sizes, staging(spark))
 
 
 WIDTH = 64

@@ -21,16 +21,19 @@ def flatten_bags(bags: DataFrame) -> DataFrame:
     return bags.select("sample_id", "table_id", F.posexplode("ids").alias("pos", "idx"))
 
 
-def bag_offsets(bags: DataFrame, staging: Staging) -> DataFrame:
+def bag_sizes(bags: DataFrame) -> DataFrame:
+    """``(sample_id, table_id, size)`` from ``(sample_id, table_id, ids)``."""
+    return bags.select("sample_id", "table_id", F.size("ids").cast("bigint").alias("size"))
+
+
+def bag_offsets(sizes: DataFrame, staging: Staging) -> DataFrame:
     """Where each sample's ids start in the list of all ids of its table.
 
-    Samples are in the order of their id.
+    ``sizes`` is ``(sample_id, table_id, size)``; samples are in the order of
+    their id.
     """
     # Written first: ordering reads its input twice, and bags may be costly to make.
-    sizes = staging.table(
-        "bag_sizes",
-        bags.select("sample_id", "table_id", F.size("ids").cast("bigint").alias("size")),
-    )
+    sizes = staging.table("bag_sizes", sizes)
     totals = running_total(
         sizes, ["sample_id"], F.col("size"), "upto", staging, per=["table_id"]
     )
