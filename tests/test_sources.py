@@ -99,6 +99,16 @@ def test_a_missing_table_is_an_error(spark, tmp_path):
         read_sqlite_table(spark, str(tmp_path), "spans").collect()
 
 
+def test_paths_with_a_scheme_or_special_characters(spark, tmp_path):
+    folder = tmp_path / "a b%20?c"
+    folder.mkdir()
+    write_sqlite(folder / "m_1.sqlite", RUNS["m_2_1"])
+    for root in (str(folder), f"file:{folder}", f"file://{folder}"):
+        assert read_sqlite_table(spark, root, "kernels").count() == 8
+    with pytest.raises(Exception, match="no .sqlite files"):
+        read_sqlite_table(spark, str(tmp_path / "none"), "kernels").count()
+
+
 def power_rows(df):
     return sorted(map(tuple, df.collect()))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql.datasource import (
     DataSource,
@@ -66,7 +67,8 @@ class SqliteTraceSource(DataSource):
 class SqliteTraceReader(DataSourceReader):
     def __init__(self, schema, options):
         self.schema = schema
-        self.root = options["path"]
+        # SQLite reads through the file system, so the folder is mounted everywhere.
+        self.root = options["path"].removeprefix("file://").removeprefix("file:")
         self.table = SQLITE_TABLES[options["table"]]
         self.rows_per_partition = int(options.get("rowsPerPartition", 0))
         self.conditions: list[tuple[str, list]] = []
@@ -96,6 +98,8 @@ class SqliteTraceReader(DataSourceReader):
                 else:
                     count = max(1, -(-os.path.getsize(path) // BYTES_PER_PARTITION))
                 slices += [FileSlice(path, i, count) for i in range(count)]
+        if not slices:
+            raise ValueError(f"no .sqlite files under {self.root}")
         return slices
 
     def _row_ranges(self, path: str) -> int:
@@ -120,7 +124,7 @@ class SqliteTraceReader(DataSourceReader):
         )
         run_id = os.path.basename(partition.path)[: -len(".sqlite")]
 
-        with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as connection:
+        with sqlite3.connect(_read_only(partition.path), uri=True) as connection:
             cursor = connection.execute(
                 f"SELECT {selected} FROM {self.table} WHERE rowid >= ? AND rowid < ?{where}",
                 [first, first + size, *values],
@@ -131,11 +135,15 @@ class SqliteTraceReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
 
+def _read_only(path: str) -> str:
+    return f"file:{quote(path)}?mode=ro"
+
+
 def _row_bounds(path: str, table: str) -> tuple[int, int]:
     """Lowest and highest row number; both are found at the ends of the table's tree."""
     import sqlite3
 
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as connection:
+    with sqlite3.connect(_read_only(path), uri=True) as connection:
         low, high = connection.execute(
             f"SELECT (SELECT min(rowid) FROM {table}), (SELECT max(rowid) FROM {table})"
         ).fetchone()
