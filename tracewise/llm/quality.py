@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.common import SPACE, words
+from tracewise.llm.common import words
 
 #: Rule k sets bit k of ``failed`` where its condition on the measurements holds.
 #: Conditions are plain SQL, so that they read the same in any engine.
@@ -20,9 +20,8 @@ RULES = (
     ("short_mean_word", "word_chars < 2 * n_words"),
     ("long_mean_word", "word_chars > 15 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("upper_case", "2 * n_upper > n_letters"),
+    ("upper_case", "2 * n_upper > word_chars"),
     ("exclamations", "2 * n_bangs > n_words"),
-    ("few_letters", "2 * n_letters < word_chars"),
     ("repeated_lines", "10 * n_dup_lines > 7 * n_lines"),
 )
 
@@ -34,7 +33,7 @@ POLICIES = {
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_letters", "n_upper", "n_bangs",
+    "n_lines", "n_upper", "n_bangs",
 )
 
 
@@ -47,37 +46,43 @@ def mask(policy: str) -> int:
 def _repeat_words(array: Column) -> Column:
     """The number of words in windows of three that the array holds twice or more.
 
-    Windows are sorted with their places; equal neighbours are the repeated ones.
+    If the hashes of the windows are distinct, so are the windows. Otherwise the
+    windows are sorted with their places; equal neighbours are the repeated ones.
     """
-    n = F.size(array)
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(
-            F.concat_ws(" ", F.get(array, i), F.get(array, i + 1), F.get(array, i + 2)).alias("w"),
-            i.alias("i"),
-        ),
+    windows = F.size(array) - 2
+    places = F.sequence(F.lit(0), windows - 1)
+    hashes = F.transform(
+        places, lambda i: F.xxhash64(F.get(array, i), F.get(array, i + 1), F.get(array, i + 2))
+    )
+    ordered = F.sort_array(
+        F.arrays_zip(
+            *(F.slice(array, k + 1, windows).alias(f"w{k}") for k in range(3)), places.alias("i")
+        )
     )
-    ordered = F.sort_array(windows)
 
     def starts(ordered: Column) -> Column:
         equal = F.zip_with(
-            F.slice(ordered, 1, n - 3),
-            F.slice(ordered, 2, n - 3),
-            lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])),
+            F.slice(ordered, 1, windows - 1),
+            F.slice(ordered, 2, windows - 1),
+            lambda a, b: F.when(
+                (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]),
+                F.array(a["i"], b["i"]),
+            ),
         )
         return F.flatten(F.array_compact(equal))
 
-    # a lambda over a single element, so that the sorted windows are made once
-    found = F.transform(F.array(ordered), starts)[0]
-    covered = F.transform(
-        F.array(found),
-        lambda s: F.size(
-            F.array_distinct(
-                F.concat(s, F.transform(s, lambda i: i + 1), F.transform(s, lambda i: i + 2))
-            )
-        ),
-    )[0]
-    return F.when(n > 3, covered).otherwise(0).cast("bigint")
+    def covered(starts: Column) -> Column:
+        after = (F.transform(starts, lambda i, k=k: i + k) for k in (1, 2))
+        return F.size(F.array_distinct(F.concat(starts, *after)))
+
+    # lambdas over a single element: what they are given is computed once
+    exact = F.transform(F.transform(F.array(ordered), starts), covered)[0]
+    return (
+        F.when(windows < 2, 0)
+        .when(F.size(F.array_distinct(hashes)) == windows, 0)
+        .otherwise(exact)
+        .cast("bigint")
+    )
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -99,15 +104,14 @@ def ledger(documents: DataFrame, text: str = "text") -> DataFrame:
             *kept,
             words(t).alias("_words"),
             lines.alias("_lines"),
-            F.length(F.regexp_replace(t, SPACE + "+", "")).cast("bigint").alias("word_chars"),
             _count(t, "#*$%&|<>").alias("n_symbols"),
-            _count(t, r"\p{L}").alias("n_letters"),
             _count(t, r"\p{Lu}").alias("n_upper"),
-            _count(t, "!").alias("n_bangs"),
+            (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("bigint").alias("n_bangs"),
         )
         .withColumns(
             {
                 "n_words": F.size("_words").cast("bigint"),
+                "word_chars": F.length(F.concat_ws("", "_words")).cast("bigint"),
                 "n_lines": F.size("_lines").cast("bigint"),
                 "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
                 "n_repeat_words": _repeat_words(F.col("_words")),
