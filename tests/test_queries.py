@@ -7,8 +7,10 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as spark_entry
+from entry.oracle import all_oracles
+from entry.queries import all_queries
 
-QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
