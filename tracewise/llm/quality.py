@@ -72,8 +72,8 @@ def _repeat_words(array: Column) -> Column:
         return F.flatten(F.array_compact(equal))
 
     def covered(starts: Column) -> Column:
-        after = (F.transform(starts, lambda i, k=k: i + k) for k in (1, 2))
-        return F.size(F.array_distinct(F.concat(starts, *after)))
+        second, third = F.transform(starts, lambda i: i + 1), F.transform(starts, lambda i: i + 2)
+        return F.size(F.array_distinct(F.concat(starts, second, third)))
 
     # lambdas over a single element: what they are given is computed once
     exact = F.transform(F.transform(F.array(ordered), starts), covered)[0]
