@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import quality, simhash, sql
+from tracewise.llm import mixing, packing, quality, simhash, sql
+from tracewise.llm.common import words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = packing.pieces(_table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+    return packing.pack(items)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = quality.rejects("base")
@@ -27,6 +33,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.size(words(F.col("text")))
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("n"))
+    return mixing.copies(documents, F.col("n")).select(
+        "doc_id", "size", "source_size", "target",
+        (F.col("size") * F.col("copies")).alias("taken"),
+        "source", "copies",
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(documents, shingle=3, distance=2)
@@ -35,7 +51,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op3_quality_rules": op3_quality_rules,
+        "op8_mixing": op8_mixing,
         "op10_simhash": op10_simhash,
     }
 

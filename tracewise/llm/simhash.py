@@ -9,8 +9,6 @@ ones are checked one after the other before the full distance.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.common import connected_components, join_keyed, staged
+from tracewise.llm.text import word_blocks
 
 SEED = 42
 #: Odd numbers of segments give the longest keys for the number of keys: 27 or 28 bits here.
@@ -28,25 +27,11 @@ SEGMENTS = 7
 #: it every fingerprint looks up the ones near it, which costs the same for each.
 PAIRWISE = 512
 
-_BLOCK = 1 << 20
-_GAP = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _word_blocks(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, in lists from about a megabyte each."""
-    at = 0
-    while at < len(text):
-        gap = _GAP.search(text, at + _BLOCK)
-        end = gap.start() if gap else len(text)
-        yield text[at:end].split()
-        at = end
-
-
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint as an unsigned number. Texts without words have 0."""
     ones, n, tail = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    for block in _word_blocks((text or "").encode().lower()):  # bytes: A-Z and ASCII space only
+    for block in word_blocks((text or "").encode().lower()):  # bytes: A-Z and ASCII space only
         tail += block
         k = len(tail) - shingle + 1
         if k > 0:
