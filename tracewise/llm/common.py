@@ -60,21 +60,23 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``keyed``, which has one row for every key.
+def join_keyed(
+    rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner"
+) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row for a key.
 
     ``count`` names the column of ``keyed`` with the number of rows that have the
     key (an upper bound will do), ``total`` their sum. Keys with at least
-    1/HOT_KEYS of all rows, of which there are HOT_KEYS at most, are broadcast;
-    the others have small groups and are joined by a shuffle. Both inputs are
-    read twice: pass staged tables. Keys must not be null.
+    1/HOT_KEYS of that, of which there are HOT_KEYS at most, are broadcast; the
+    others have small groups and are joined by a shuffle. Both inputs are read
+    twice: pass staged tables. Keys must not be null.
     """
     is_hot = F.col(count) * HOT_KEYS >= F.lit(total)
     hot = keyed.filter(is_hot).drop(count)
     cold = keyed.filter(~is_hot).drop(count)
     return (
         rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-        .join(cold, key)
+        .join(cold, key, how)
         .unionByName(rows.join(F.broadcast(hot), key))
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import mixing, packing, quality, simhash, sql
+from tracewise.llm import mixing, packing, quality, secrets, simhash, sql, warc
 from tracewise.llm.common import words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "place", "length", F.sha2("candidate", 256).alias("digest"), "label", "probability", "is_secret"
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = quality.rejects("base")
@@ -33,6 +40,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    kept = F.col("record_type") == "response"
+    return read.select(
+        warc.page_id("record_id").alias("page_id"),
+        F.when(kept, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("bigint").alias("payload_bytes"),
+        F.when(kept, F.sha1("payload")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+        "record_type",
+        warc.page_id("refers_to").alias("refers_to"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.size(words(F.col("text")))
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("n"))
@@ -52,7 +71,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_secret_scan": op2_secret_scan,
         "op3_quality_rules": op3_quality_rules,
+        "op4_warc": op4_warc,
         "op8_mixing": op8_mixing,
         "op10_simhash": op10_simhash,
     }

@@ -42,4 +42,17 @@ QUALITY = f"""
            ({_BITS})::BIGINT AS failed
     FROM measured"""
 
-ORACLES = {"op3_quality_rules": QUALITY}
+WARC = """
+    WITH payloads AS (
+        SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), firsts AS (
+        SELECT payload_digest, max(page_id) AS first FROM payloads WHERE payload_bytes >= 1000
+        GROUP BY payload_digest
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+    FROM payloads LEFT JOIN firsts USING (payload_digest)"""
+
+ORACLES = {"op3_quality_rules": QUALITY, "op4_warc": WARC}
