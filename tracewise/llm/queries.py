@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import mixing, packing, quality, secrets, simhash, sql, warc
+from tracewise.llm import (
+    mixing, packing, page_diff, postings, prefix_counts, quality, secrets, simhash, sql, toxicity, warc,
+)
 from tracewise.llm.common import words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +54,38 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "text"
+    )
+    counted = prefix_counts.with_prefix_tokens(documents, "byte_bpe_50k.json")
+    n = prefix_counts.tokens_in(F.col("prefix_tokens"))
+    return counted.select("doc_id", "n_bytes", n.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    known = _table(spark, sf_dir, "labels").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    # the sample is bounded, and so is what the join broadcasts
+    known = known.orderBy(F.xxhash64("doc_id")).limit(toxicity.TRAIN_ROWS)
+    model = toxicity.fit(documents.join(F.broadcast(known), "doc_id"))
+    return toxicity.score(documents, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.size(words(F.col("text")))
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("n"))
@@ -74,7 +108,11 @@ def llm_queries() -> dict[str, Query]:
         "op2_secret_scan": op2_secret_scan,
         "op3_quality_rules": op3_quality_rules,
         "op4_warc": op4_warc,
+        "op5_prefix_token_counts": op5_prefix_token_counts,
+        "op6_page_text": op6_page_text,
+        "op7_posting_lists": op7_posting_lists,
         "op8_mixing": op8_mixing,
+        "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
     }
 

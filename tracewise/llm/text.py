@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 
 BLOCK = 1 << 20
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
+_TAIL = re.compile(rb"(?<=[a-z])([,.])(?=[\x20\x09-\x0D]|$)")
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -34,15 +35,19 @@ def tokenizer(file: str):
 
 
 class WordTokens:
-    """Ids of a tokenizer that never looks across white space, remembered for each word.
+    """Ids of a tokenizer that lowers case and never looks across white space, remembered by word.
 
     Ids are little-endian unsigned 32-bit numbers, so that joining bytes joins ids.
     """
 
-    def __init__(self, file: str, remember: int = 200_000):
+    def __init__(self, file: str, remember: int = 500_000):
         self.file, self.remember, self.known = file, remember, {}
 
     def of(self, text: bytes) -> bytes:
+        if b"<|" not in text:  # special strings are found before case is lowered
+            text = text.lower()
+        # letters and the mark after them are apart for the tokenizer: fewer words to remember
+        text = _TAIL.sub(rb" \1", text)
         return b"".join(self._block(words) for words in word_blocks(text))
 
     def _block(self, words: list[bytes]) -> bytes:
@@ -55,7 +60,7 @@ class WordTokens:
         new = [w for w in need if w not in self.known]
         encoded = tokenizer(self.file).encode_batch([w.decode() for w in new], add_special_tokens=False)
         for w, e in zip(new, encoded):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known[w] = array("I", e.ids).tobytes()
         return b"".join(map(self.known.__getitem__, words))
 
 
