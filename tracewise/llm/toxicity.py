@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-Words get log-odds of toxic against clean documents under a Dirichlet prior; words
-that stand out score their log-odds, all others a small loss. One pass over a text
+Tokens (short words and the starts of words) get log-odds of toxic against clean
+documents under a Dirichlet prior; words with a token that stands out score its
+log-odds, all others a small loss. One pass over a text
 finds all its maximal segments (none can be made better by growing or shrinking).
 The best score of a text of n words without toxic passages follows an extreme-value
 law; its parameters turn scores into evidence, and a logistic curve fitted on the
@@ -25,19 +26,48 @@ from tracewise.llm.common import staged
 
 #: Labelled documents that the model is fitted on, and words it may have, at most.
 TRAIN_ROWS, MAX_WORDS = 200_000, 50_000
-#: Weight of the prior in words, the least z of a word of the model, the loss of other words.
-PRIOR, LEAST_Z, LOSS = 1000.0, 4.0, 0.15
+#: Weight of the prior (in documents with a token, and half a document more for each token), the
+#: least z and log-odds of a token of the model, the loss of words without one.
+PRIOR, LEAST_Z, LEAST_ODDS, LOSS = 1000.0, 3.5, 1.0, 0.02
+#: Lengths of the starts of words that are tokens, the end mark included: stems and whole short words.
+STARTS = range(4, 9)
+#: Words whose scores a Python worker remembers.
+REMEMBER = 400_000
 #: Segments this likely in a clean text of the same length are reported.
 SIGNIFICANT = 0.01
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def tokens(text: str | None) -> list[str]:
+def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
     return _WORD.findall((text or "").lower())
 
 
+def tokens_of(word: str) -> list[str]:
+    """The tokens of a word: its starts, with a mark for its end, as a whole if it is short."""
+    marked = word + "$"
+    return [marked[:n] for n in STARTS if n <= len(marked)] or [marked]
+
+
+class _Scores(dict):
+    """The score of a word: the largest log-odds of its tokens, None without any."""
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: str) -> float | None:
+        if len(self) > REMEMBER:
+            self.clear()
+        known = [self.odds[t] for t in tokens_of(word) if t in self.odds]
+        found = self[word] = max(known) if known else None
+        return found
+
+    def __reduce__(self):
+        return _Scores, (self.odds,)
+
+
 def maximal_segments(scores: list[tuple[int, float]], n: int, loss: float) -> list[tuple[int, int, float]]:
     """All maximal segments (start, end, score) of a sequence of n scores, in linear time.
 
@@ -67,50 +97,61 @@ def maximal_segments(scores: list[tuple[int, float]], n: int, loss: float) -> li
 
 @dataclass
 class Model:
-    words: dict[str, float]
-    scale: float  # lambda of the extreme-value law
-    factor: float  # its K
-    offset: float
-    slope: float
+    odds: dict[str, float]
+    scale: float = 1.0  # lambda of the extreme-value law
+    factor: float = 1.0  # its K
+    offset: float = 0.0
+    slope: float = 0.0
     loss: float = LOSS
 
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of words of a text, and its maximal segments."""
-        found, get = tokens(text), self.words.get
-        hits = [(i, s) for i, w in enumerate(found) if (s := get(w)) is not None]
-        return len(found), maximal_segments(hits, len(found), self.loss)
+    def __post_init__(self):
+        self.scores = _Scores(self.odds)
+
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """The number of words of a text, and the places and scores of those that have one."""
+        words = words_of(text)
+        found = map(self.scores.__getitem__, words)
+        return len(words), [(i, s) for i, s in enumerate(found) if s is not None]
 
-    def evidence(self, n: int, best: float) -> float:
+    def evidence(self, n: int, score: float) -> float:
         """Minus the log of how many segments of that score a clean text of n words would have."""
-        return self.scale * best - math.log(self.factor * max(n, 1))
+        return self.scale * score - math.log(self.factor * max(n, 1))
+
+    def total(self, n: int, scores: list[float]) -> float:
+        """The evidence of all segments together: of those that a clean text would not have, or of the best."""
+        each = [self.evidence(n, s) for s in scores] or [self.evidence(n, 0.0)]
+        return sum(e for e in each if e > 0) or max(each)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-min(max(self.offset + self.slope * evidence, -500), 500)))
 
 
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """``word``, ``toxic``, ``clean``: how often each word is in texts of either label."""
+def token_counts(labelled: DataFrame) -> DataFrame:
+    """``token``, ``toxic``, ``clean``: how many texts of either label have each token.
+
+    A text counts once for a token, so that one that repeats a word says no more.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 2000):
                 both = Counter(), Counter()
                 for text, label in zip(batch["text"][start : start + 2000], batch["label"][start : start + 2000]):
-                    both[int(label)].update(tokens(text))
-                words = list(both[0].keys() | both[1].keys())
+                    both[int(label)].update({t for w in set(words_of(text)) for t in tokens_of(w)})
+                tokens = list(both[0].keys() | both[1].keys())
                 yield pd.DataFrame(
-                    {"word": words, "toxic": [both[1][w] for w in words], "clean": [both[0][w] for w in words]}
+                    {"token": tokens, "toxic": [both[1][t] for t in tokens], "clean": [both[0][t] for t in tokens]}
                 )
 
-    seen = labelled.select("text", "label").mapInPandas(count, "word string, toxic bigint, clean bigint")
-    return seen.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = labelled.select("text", "label").mapInPandas(count, "token string, toxic bigint, clean bigint")
+    return seen.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def log_odds(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
     """The counts with ``odds``, the difference of log-odds under the prior, and its ``z``."""
     toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     toxic, clean = float(toxic or 0), float(clean or 0)
-    share = prior * (F.col("toxic") + F.col("clean")) / max(toxic + clean, 1)
+    share = prior * (F.col("toxic") + F.col("clean")) / max(toxic + clean, 1) + 0.5
     a, b = F.col("toxic") + share, F.col("clean") + share
     odds = F.log(a / (toxic + prior - a)) - F.log(b / (clean + prior - b))
     return counts.withColumns({"odds": odds, "z": odds / F.sqrt(1 / a + 1 / b)})
@@ -148,38 +189,44 @@ def _logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tupl
 def fit(labelled: DataFrame) -> Model:
     """A model from ``text`` and ``label`` (0 or 1); null texts are empty, null labels take no part.
 
-    Without rows of both labels every probability is the share of label 1 (0 if there are none).
+    Without rows of both labels every probability is near the label there is, or 0.
     """
     labelled = labelled.filter(F.col("label").isin(0, 1))
-    counts = staged(log_odds(staged(word_counts(labelled), "toxic-counts")), "toxic-odds")
-    rows = counts.filter((F.col("z") >= LEAST_Z) & (F.col("odds") > LOSS)).orderBy(F.desc("z"), "word")
-    rows = rows.limit(MAX_WORDS).collect()  # bounded by MAX_WORDS
-    words = {r["word"]: r["odds"] for r in rows}
-    total = float(counts.agg(F.coalesce(F.sum("clean"), F.lit(0))).first()[0])
-    clean = np.array([r["clean"] + 0.5 for r in rows] + [max(total - sum(r["clean"] for r in rows), 1.0)])
-    model = Model(words, 1.0, 1.0, 0.0, 0.0)
-    if words:
-        model.scale = _scale(np.array([*words.values(), -LOSS]), clean / clean.sum())
+    counts = staged(log_odds(staged(token_counts(labelled), "toxic-counts")), "toxic-odds")
+    known = counts.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
+    rows = known.orderBy(F.desc("z"), "token").limit(MAX_WORDS).collect()  # bounded by MAX_WORDS
+    model = Model({r["token"]: r["odds"] for r in rows})
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = [model.segments(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "label": batch["label"].astype("int32"),
-                    "n": [max(n, 1) for n, _ in seen],
-                    "best": [max((s for *_, s in found), default=0.0) for _, found in seen],
-                }
-            )
-
-    judged = labelled.select("text", "label").mapInPandas(judge, "label int, n bigint, best double")
+            out = []
+            for text, label in zip(batch["text"], batch["label"]):
+                n, hits = model.hits(text)
+                scores = [s for *_, s in maximal_segments(hits, n, model.loss)]
+                out.append((int(label), max(n, 1), [round(s, 1) for _, s in hits], scores))
+            yield pd.DataFrame(out, columns=["label", "n", "hits", "scores"])
+
+    judged = labelled.select("text", "label").mapInPandas(
+        judge, "label int, n bigint, hits array<double>, scores array<double>"
+    )
     judged = staged(judged, "toxic-judged")
-    # the likeliest K for the best segments of clean texts
-    n, expected = judged.filter("label = 0").agg(
-        F.count("*"), F.sum(F.col("n") * F.exp(-F.lit(model.scale) * F.col("best")))
-    ).first()
-    model.factor = n / expected if n and expected else 1.0
-    evidence = F.lit(model.scale) * F.col("best") - F.log(F.lit(model.factor) * F.col("n"))
+    clean = judged.filter("label = 0")
+    n, words = clean.agg(F.count("*"), F.sum("n")).first()
+    if n and rows:
+        # scores of words in clean texts; log-odds to one decimal, so they are few
+        seen = clean.select(F.explode("hits").alias("s")).groupBy("s").count().collect()
+        scores = np.array([r["s"] for r in seen] + [max(model.odds.values()), -LOSS])
+        times = np.array([r["count"] for r in seen] + [0.5, 0.0], float)
+        times[-1] = max(words - times.sum(), 1.0)
+        model.scale = _scale(scores, times / times.sum())
+        # the likeliest K for the best segments of clean texts
+        best = F.coalesce(F.array_max("scores"), F.lit(0.0))
+        expected = clean.agg(F.sum(F.col("n") * F.exp(-F.lit(model.scale) * best))).first()[0]
+        model.factor = n / expected if expected else 1.0
+    each = F.transform("scores", lambda s: F.lit(model.scale) * s - F.log(F.lit(model.factor) * F.col("n")))
+    sure = F.aggregate(F.filter(each, lambda e: e > 0), F.lit(0.0), lambda a, e: a + e)
+    none = -F.log(F.lit(model.factor) * F.col("n"))
+    evidence = F.when(sure > 0, sure).otherwise(F.coalesce(F.array_max(each), none))
     step = F.round(F.least(F.greatest(evidence, F.lit(-50.0)), F.lit(150.0)) * 4) / 4
     bins = judged.groupBy(step.alias("x")).agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()
     x, p, n = (np.array([float(r[c]) for r in bins]) for c in range(3))
@@ -203,14 +250,14 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judge(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            n, found = model.segments(t)
-            best = max((s for *_, s in found), default=0.0)
-            told = []
+            n, hits = model.hits(t)
+            found, told = maximal_segments(hits, n, model.loss), []
             for start, end, s in found:
                 p = -math.expm1(-math.exp(min(-model.evidence(n, s), 700)))
                 if p <= SIGNIFICANT:
                     told.append({"start": start, "end": end, "score": s, "p": p})
-            rows.append((model.probability(model.evidence(n, best)), n, told))
+            total = model.total(n, [s for *_, s in found])
+            rows.append((model.probability(total), n, told))
         return pd.DataFrame(rows, columns=list(new))
 
     return documents.select(*kept, judge(text).alias("_j")).select(*kept, "_j.*")
