@@ -99,26 +99,20 @@ def ledger(documents: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in documents.columns if c.lower() not in {*MEASURES, "failed"}]
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    measured = (
-        documents.select(
-            *kept,
-            words(t).alias("_words"),
-            lines.alias("_lines"),
-            _count(t, "#*$%&|<>").alias("n_symbols"),
-            _count(t, r"\p{Lu}").alias("n_upper"),
-            (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("bigint").alias("n_bangs"),
-        )
-        .withColumns(
-            {
-                "n_words": F.size("_words").cast("bigint"),
-                "word_chars": F.length(F.concat_ws("", "_words")).cast("bigint"),
-                "n_lines": F.size("_lines").cast("bigint"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-                "n_repeat_words": _repeat_words(F.col("_words")),
-            }
-        )
-        .drop("_words", "_lines")
+    measures = F.struct(
+        F.size("_words").cast("bigint").alias("n_words"),
+        F.length(F.concat_ws("", "_words")).cast("bigint").alias("word_chars"),
+        _count(t, "#*$%&|<>").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        _repeat_words(F.col("_words")).alias("n_repeat_words"),
+        F.size("_lines").cast("bigint").alias("n_lines"),
+        _count(t, r"\p{Lu}").alias("n_upper"),
+        (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("bigint").alias("n_bangs"),
     )
+    # made by a generator, so that a filter on the ledger is not computed from the text again
+    measured = documents.select(
+        "*", words(t).alias("_words"), lines.alias("_lines")
+    ).select(*kept, F.inline(F.array(measures)))
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)]
     failed = bits[0].cast("bigint")
     for bit in bits[1:]:
