@@ -11,7 +11,6 @@ from functools import lru_cache
 
 BLOCK = 1 << 20
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-_TAIL = re.compile(rb"(?<=[a-z])([,.])(?=[\x20\x09-\x0D]|$)")
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -46,8 +45,6 @@ class WordTokens:
     def of(self, text: bytes) -> bytes:
         if b"<|" not in text:  # special strings are found before case is lowered
             text = text.lower()
-        # letters and the mark after them are apart for the tokenizer: fewer words to remember
-        text = _TAIL.sub(rb" \1", text)
         return b"".join(self._block(words) for words in word_blocks(text))
 
     def _block(self, words: list[bytes]) -> bytes:
@@ -57,10 +54,24 @@ class WordTokens:
             need = set(words)
         if len(self.known) + len(need) > self.remember:
             self.known = {}
-        new = [w for w in need if w not in self.known]
-        encoded = tokenizer(self.file).encode_batch([w.decode() for w in new], add_special_tokens=False)
+        known, marked, new = self.known, [], set()
+        for w in need:
+            if w in known:
+                continue
+            # letters and the mark after them are apart for the tokenizer: it sees the letters only
+            if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122:
+                marked.append(w)
+                if w[:-1] not in known:
+                    new.add(w[:-1])
+            else:
+                new.add(w)
+        new.update(m for m in (b",", b".") if m not in known)
+        new = list(new)
+        encoded = tokenizer(self.file).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         for w, e in zip(new, encoded):
-            self.known[w] = array("I", e.ids).tobytes()
+            known[w] = array("I", e.ids).tobytes()
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
         return b"".join(map(self.known.__getitem__, words))
 
 
