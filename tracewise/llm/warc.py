@@ -199,23 +199,18 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict, byte
                     name, _, value = line.partition(":")
                     headers[name.strip().lower()] = value.strip()
             length = int(headers.get("content-length", 0))
-            if wanted(headers):
-                body = None
-                if payload:
-                    body = stream.take(length)
-                    if headers.get("content-type", "").startswith("application/http"):
-                        body = body.partition(b"\r\n\r\n")[2]
-                elif not stream.gzipped:
-                    stream.skip(length)
+            body = None
+            take = wanted(headers)
+            if take and payload:
+                body = stream.take(length)
+                if headers.get("content-type", "").startswith("application/http"):
+                    body = body.partition(b"\r\n\r\n")[2]
+            if take:
                 yield headers, body
-                if stream.gzipped:
-                    break
-            elif stream.gzipped:
+            if stream.length:  # the member has this record only, and says where it ends
                 break
-            else:
-                stream.skip(length)
-            stream.skip(4)
-            if stream.end() >= size:
+            stream.skip(4 if take and payload else length + 4)
+            if not stream.gzipped and stream.end() >= size:
                 break
         after = stream.end()
         if after <= at:
