@@ -139,9 +139,10 @@ def token_counts(labelled: DataFrame) -> DataFrame:
                 for text, label in zip(batch["text"][start : start + 2000], batch["label"][start : start + 2000]):
                     both[int(label)].update({t for w in set(words_of(text)) for t in tokens_of(w)})
                 tokens = list(both[0].keys() | both[1].keys())
-                yield pd.DataFrame(
-                    {"token": tokens, "toxic": [both[1][t] for t in tokens], "clean": [both[0][t] for t in tokens]}
-                )
+                if tokens:  # texts without words have nothing to tell
+                    yield pd.DataFrame(
+                        {"token": tokens, "toxic": [both[1][t] for t in tokens], "clean": [both[0][t] for t in tokens]}
+                    )
 
     seen = labelled.select("text", "label").mapInPandas(count, "token string, toxic bigint, clean bigint")
     return seen.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
