@@ -97,6 +97,14 @@ def test_embedding_bag_sum(spark):
     }
 
 
+@pytest.mark.parametrize("vector", [[1.0], [1.0, 2.0, 3.0], []])
+def test_embedding_bag_sum_refuses_other_widths(spark, vector):
+    ids = spark.createDataFrame([(1, 0, 5)], "sample_id bigint, table_id int, idx bigint")
+    table = spark.createDataFrame([(0, 5, vector)], "table_id int, idx bigint, vector array<double>")
+    with pytest.raises(Exception, match="vector is not 2 wide"):
+        bags.embedding_bag_sum(ids, table, 2).collect()
+
+
 @pytest.mark.parametrize("count", [0, 1, 2, 5])
 def test_pairwise_dot(spark, count):
     x = np.random.default_rng(count).integers(-5, 5, (count, 3)).astype(float)

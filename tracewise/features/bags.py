@@ -58,16 +58,18 @@ def embedding_bag_sum(ids: DataFrame, embeddings: DataFrame, width: int) -> Data
     ``ids`` is ``(sample_id, table_id, idx)``, with a NULL ``idx`` for an empty
     bag, ``embeddings`` is ``(table_id, idx, vector)`` with ``width`` numbers.
     Adds ``missing``, the number of ids without an embedding; those add nothing.
+    A vector of another width is an error.
 
     Vectors stay in columns while they are summed, so no row is multiplied by
     the width and sums combine before the shuffle. A popular id is a hot key on
     the side of the bags only, where adaptive execution can split it.
     """
     parts = [f"_v{i}" for i in range(width)]
+    wrong = F.raise_error(F.concat(F.lit(f"vector is not {width} wide but "), F.size("vector").cast("string")))
     wide = embeddings.select(
         "table_id",
         "idx",
-        F.lit(True).alias("found"),
+        F.when(F.col("vector").isNull() | (F.size("vector") == width), True).otherwise(wrong.cast("boolean")).alias("found"),
         *[F.get("vector", F.lit(i)).alias(p) for i, p in enumerate(parts)],
     )
     missing = F.col("idx").isNotNull() & F.col("found").isNull()

@@ -69,7 +69,7 @@ def worker_layers(stats: DataFrame) -> DataFrame:
 
 
 def worker_stats(inference_stats: DataFrame, stats: DataFrame) -> DataFrame:
-    """Time, bytes and weights of every worker and step; 0 where it had none."""
+    """Time, bytes and weights of every worker and step; 0 where it had none. Keys stay NULL."""
     joined = inference_stats.join(worker_layers(stats), [*STEP_KEYS, "globalTid"], "left")
     joined = joined.withColumn(
         "communication_throughput",
@@ -77,7 +77,8 @@ def worker_stats(inference_stats: DataFrame, stats: DataFrame) -> DataFrame:
             F.col("communication_send_bytes") + F.col("communication_recv_bytes"),
             F.col("communication_transfer_device_duration"),
         ),
-    ).na.fill(0)
+    )
+    joined = joined.na.fill(0, [c for c in joined.columns if c not in (*STEP_KEYS, "globalTid")])
     totals = joined.withColumns(
         {
             "device_duration": _total([*PARTS.values(), "communication_wait_device_duration"]),
