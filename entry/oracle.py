@@ -424,31 +424,33 @@ _CTES: dict[str, str] = {
         WHERE stream > 0 OR j < 4""",
 }
 
-# The hash of the synthetic features takes three rounds of three steps each.
+# The hash of the synthetic features: three rounds of three steps on 64 bits,
+# as products of 128 bits without their upper half.
+_BITS = "18446744073709551615::UHUGEINT"
 _previous = "synth_raw"
 for _round, _value in enumerate(
-    ["sample_id + 8867", "h + stream * 1000003", "h + j * 10007"]
+    ["sample_id::UHUGEINT + 8867", "h + stream::UHUGEINT * 1000003", "h + j::UHUGEINT * 10007"]
 ):
     _CTES[f"synth_{_round}a"] = (
-        f"SELECT sample_id, stream, j, ({_value}) & 2147483647 AS h FROM {_previous}"
+        f"SELECT sample_id, stream, j, ({_value}) & {_BITS} AS h FROM {_previous}"
     )
     _CTES[f"synth_{_round}b"] = (
-        "SELECT sample_id, stream, j, (xor(h, h >> 16) * 2146121005) & 2147483647 AS h"
-        f" FROM synth_{_round}a"
+        f"SELECT sample_id, stream, j, (xor(h, h >> 30) * 13787848793156543929::UHUGEINT) & {_BITS}"
+        f" AS h FROM synth_{_round}a"
     )
     _CTES[f"synth_{_round}c"] = (
-        "SELECT sample_id, stream, j, (xor(h, h >> 15) * 1187670197) & 2147483647 AS h"
-        f" FROM synth_{_round}b"
+        f"SELECT sample_id, stream, j, (xor(h, h >> 27) * 10723151780598845931::UHUGEINT) & {_BITS}"
+        f" AS h FROM synth_{_round}b"
     )
     _CTES[f"synth_{_round}d"] = (
-        f"SELECT sample_id, stream, j, xor(h, h >> 16) AS h FROM synth_{_round}c"
+        f"SELECT sample_id, stream, j, xor(h, h >> 31) AS h FROM synth_{_round}c"
     )
     _previous = f"synth_{_round}d"
 _SIZE = "CASE stream " + " ".join(
     f"WHEN {t + 1} THEN {size - 1}" for t, size in enumerate(TABLE_SIZES)
 ) + " END"
 _CTES |= {
-    "synth": f"SELECT sample_id, stream, j, h / 2147483648.0::DOUBLE AS u FROM {_previous}",
+    "synth": f"SELECT sample_id, stream, j, (h >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u FROM {_previous}",
     "synth_bags": f"""
         SELECT sample_id, stream - 1 AS table_id,
                list_sort(list_distinct(list(round_even(u * {_SIZE}, 0)::BIGINT)))[1:5] AS ids

@@ -23,6 +23,22 @@ def test_synthetic_features(spark):
     assert make(samples, 2).filter("sample_id = 5").first() != rows[5]
 
 
+def test_synthetic_features_of_large_negative_and_null_ids(spark):
+    ids = [5, 5 + 2**31, 5 + 2**32, 5 + 2**62, -5, None]
+    df = spark.createDataFrame([(i,) for i in ids], "sample_id bigint")
+    rows = {r["sample_id"]: r for r in synthetic.synthetic_features(df, 3, [2000, 50], 4, 9).collect()}
+    known = [tuple(rows[i]["dense"]) + tuple(rows[i]["bags"][0]) for i in ids if i is not None]
+    assert len(set(known)) == 5
+    assert rows[None]["dense"] is None and rows[None]["bags"] is None
+
+
+def test_bags_larger_than_a_block(spark, monkeypatch):
+    df = spark.range(40).withColumnRenamed("id", "sample_id")
+    expected = sorted(map(repr, synthetic.synthetic_features(df, 2, [900, 900], 7).collect()))
+    monkeypatch.setattr(synthetic, "BLOCK", 20)
+    assert sorted(map(repr, synthetic.synthetic_features(df, 2, [900, 900], 7).collect())) == expected
+
+
 def test_synthetic_numbers_are_spread_evenly(spark):
     samples = spark.range(4000).withColumnRenamed("id", "sample_id")
     dense = np.array(
