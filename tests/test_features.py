@@ -168,6 +168,60 @@ def test_score_model_against_brute_force(spark):
         np.testing.assert_allclose(got[s], forward(np.concatenate([b, dots]), top), rtol=1e-12)
 
 
+@pytest.mark.parametrize("rows", [[[1.0] * 3, [2.0] * 5], [[1.0] * 3], [[]]])
+def test_vectors_of_another_width_are_refused(spark, rows):
+    df = spark.createDataFrame([(r,) for r in rows], "x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="x has .* instead of 4"):
+        scoring.score_mlp(df, "x", [(np.ones((2, 4)), np.ones(2))]).collect()
+
+
+def test_a_null_vector_has_no_score(spark):
+    df = spark.createDataFrame(
+        [(0, None), (1, [1.0, 2.0]), (2, None), (3, [3.0, 4.0])], "id int, x array<double>"
+    ).coalesce(1)
+    got = scoring.score_mlp(df, "x", [(np.ones((1, 2)), np.ones(1))]).collect()
+    assert [tuple(r)[::2] for r in got] == [(0, None), (1, [4.0]), (2, None), (3, [8.0])]
+
+
+def test_ragged_interactions_are_refused(spark):
+    df = spark.createDataFrame([([[1.0], [2.0]],), ([[1.0]],)], "v array<array<double>>").coalesce(1)
+    with pytest.raises(Exception, match="v has 1 to 2 entries"):
+        scoring.interact(df, "v", "out").collect()
+
+
+@pytest.mark.parametrize("wrong", [(0, 2), (0, -1), (0, None), (0, 1)])
+def test_unknown_and_repeated_tables_are_refused(spark, wrong):
+    rng = np.random.default_rng(1)
+    samples = spark.createDataFrame([(0, [1.0])], "sample_id bigint, dense array<double>")
+    rows = [(0, 0, [1.0, 2.0]), (0, 1, [1.0, 2.0])]
+    schema = "sample_id bigint, table_id int, pooled array<double>"
+    model = 2, layers(rng, 1, 2), layers(rng, 5, 1)
+    assert scoring.score_model(samples, spark.createDataFrame(rows, schema), *model).count() == 1
+    more = spark.createDataFrame([*rows, (*wrong, [3.0, 4.0])], schema)
+    with pytest.raises(Exception, match="beyond 2 or twice"):
+        scoring.score_model(samples, more, *model).collect()
+
+
+def test_many_tables(spark):
+    samples = spark.createDataFrame([(0, [1.0])], "sample_id bigint, dense array<double>")
+    pooled = spark.createDataFrame(
+        [(0, t, [1.0]) for t in range(130)], "sample_id bigint, table_id int, pooled array<double>"
+    )
+    bottom, pairs = [(np.ones((1, 1)), np.zeros(1))], 131 * 130 // 2
+    top = [(np.ones((1, 1 + pairs)), np.zeros(1))]
+    assert scoring.score_model(samples, pooled, 130, bottom, top).first()["score"] == [1.0 + pairs]
+
+
+def test_rows_without_a_time_are_a_stage(spark, staging):
+    df = spark.createDataFrame(
+        [(1, "2024-01-01"), (2, None), (3, "2024-01-02"), (4, "2024-01-02")], "id int, at string"
+    ).withColumn("at", F.to_timestamp("at"))
+    got = {r["id"]: r["stage"] for r in split.temporal_split(df, "at", "id", staging).collect()}
+    assert got == {1: "train", 2: "undated", 3: "val", 4: "test"}
+    empty = split.temporal_split(df.filter("id = 2"), "at", "id", staging)
+    assert [r["stage"] for r in empty.collect()] == ["undated"]
+
+
 def test_layer_shapes_are_checked(spark):
     df = spark.createDataFrame([([1.0],)], "x array<double>")
     with pytest.raises(ValueError, match="input width"):

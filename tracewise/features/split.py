@@ -11,15 +11,24 @@ from tracewise.session import Staging
 
 def temporal_split(df: DataFrame, time: str, key: str, staging: Staging) -> DataFrame:
     """``df`` with ``stage``: ``train`` for all days before the last one, ``val``
-    for the first half of the last day's rows and ``test`` for the second.
+    for the first half of the last day's rows, ``test`` for the second and
+    ``undated`` for rows without a time.
 
     ``key`` identifies a row and orders rows of the same time. With an odd
     number of rows the middle one is in ``test``.
     """
-    day = F.to_date(F.col(time))
-    last_day = df.agg(F.max(day)).scalar()
-    train = df.filter(day < last_day).withColumn("stage", F.lit("train"))
-    final = df.filter(day == last_day)
+    at = F.col(time)
+    if df.schema[time].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz"):
+        raise ValueError(f"{time} is no date or timestamp")
+    # The start of the last day, compared with the column itself so that files can be skipped.
+    last_day = (
+        df.agg(F.max(time).alias("last"))
+        .select(F.to_date("last").cast(df.schema[time].dataType))
+        .scalar()
+    )
+    earlier = F.when(at.isNull(), F.lit("undated")).otherwise(F.lit("train"))
+    train = df.filter(at.isNull() | (at < last_day)).withColumn("stage", earlier)
+    final = df.filter(at >= last_day)
     rows = final.agg(F.count(F.lit(1))).scalar()
     numbered = running_total(final, [time, key], F.lit(1).cast("bigint"), "_row", staging)
     halves = numbered.withColumn(
