@@ -64,9 +64,10 @@ def _host(event: str, group: str, *sums: str) -> str:
     columns = ", ".join(f"sum({s})::BIGINT AS {a}" for a, s in (x.split("=") for x in sums))
     if "event_name" not in group:
         extra = ", arg_min(event_name, start) AS event_name"
+    first = "(start, \"end\", globalTid)"
     return f"""
-        SELECT {_STEP}, arg_min(globalTid, start) AS globalTid{extra},
-               arg_min(duration, start) AS duration, sum(duration)::BIGINT AS duration_sum,
+        SELECT {_STEP}, arg_min(globalTid, {first}) AS globalTid{extra},
+               arg_min(duration, {first}) AS duration, sum(duration)::BIGINT AS duration_sum,
                {columns}
         FROM sized_spans WHERE event_name = '{event}' GROUP BY {group}"""
 
@@ -240,7 +241,7 @@ def _quality_checks() -> str:
                 SELECT r.run_id, 'step_{event}_{stage}' AS "check",
                   (SELECT count(*) FROM step_{event}_range x WHERE x.run_id = r.run_id) AS expected,
                   (SELECT count(*) FROM step_{event}_{stage} x WHERE x.run_id = r.run_id) AS actual
-                FROM (SELECT DISTINCT run_id FROM step_range) r""")
+                FROM (SELECT DISTINCT run_id FROM spans) r""")
     return f"SELECT *, expected = actual AS passed FROM ({' UNION ALL '.join(checks)})"
 
 
@@ -603,7 +604,7 @@ def _queries() -> dict[str, str]:
         "quality_checks": _quality_checks(),
         "decode_quality": """
             SELECT run_id, s.spans, s.unknown_event_type, s.empty_text, s.malformed_text,
-                   s.unknown_tensor_size, s.open_spans, s.reversed_spans, c.calls, c.unknown_name,
+                   s.unknown_tensor_size, s.unusable_ids, s.open_spans, s.reversed_spans, c.calls, c.unknown_name,
                    c.reversed_calls
             FROM (SELECT run_id, count(*) AS spans,
                     count(*) FILTER (eventType NOT IN (33, 34, 39, 59, 60, 75, 76))
@@ -611,15 +612,24 @@ def _queries() -> dict[str, str]:
                     count(*) FILTER (eventType = 59 AND coalesce(event, '') = '') AS empty_text,
                     count(*) FILTER (eventType = 59 AND event != '' AND j IS NULL)
                       AS malformed_text,
-                    count(*) FILTER (eventType = 59 AND event_name IN ('input', 'output')
-                      AND json_extract(j, '$.tensor') IS NULL) AS unknown_tensor_size,
+                    count(*) FILTER (eventType = 59 AND (
+                      event_name IN ('input', 'output') AND {tensor} IS NULL
+                      OR event_name = 'compute' AND {weights} IS NULL
+                      OR event_name = 'communication' AND ({send} IS NULL OR {recv} IS NULL)))
+                      AS unknown_tensor_size,
+                    count(*) FILTER (eventType = 59 AND event_name = 'inference'
+                      AND (step_id IS NULL OR rank IS NULL OR local_rank IS NULL
+                           OR batch_size IS NULL)) AS unusable_ids,
                     count(*) FILTER ("end" IS NULL) AS open_spans,
                     count(*) FILTER ("end" < start) AS reversed_spans
                   FROM decoded GROUP BY run_id) s
             FULL JOIN (SELECT run_id, count(*) AS calls,
                     count(*) FILTER (function_name IS NULL) AS unknown_name,
                     count(*) FILTER ("end" < start) AS reversed_calls
-                  FROM named_runtime GROUP BY run_id) c USING (run_id)""",
+                  FROM named_runtime GROUP BY run_id) c USING (run_id)""".format(
+            tensor=_tensor("$.tensor"), weights=_tensors("$.weights"),
+            send=_tensors("$.send_tensors"), recv=_tensors("$.recv_tensors"),
+        ),
         "last_step": f"SELECT * FROM step_inference_stats {_LAST}",
         "report_log2": f"SELECT batch_size, {_IPS}, log2(batch_size) AS log2_batch_size"
         f" FROM system_stats {_LAST}",

@@ -1,7 +1,8 @@
 import json
 
 from tracewise.plans import calls
-from tracewise.plans.calls import split_wait
+from tracewise.operators.lookup import string_lookup
+from tracewise.plans.calls import call_names, split_wait
 
 PID = 5
 GID = PID << 24
@@ -103,6 +104,74 @@ def test_wait_and_transfer(spark):
     ]
 
 
+def test_a_hot_communication_is_split(spark):
+    """Three quarters of the kernels in one communication: the join is split and complete."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 60_000, numPartitions=8).selectExpr(
+            "concat('r', if(id % 4 < 3, 0, id % 7)) AS run_id",
+            "if(id % 4 < 3, 1, id % 50) AS step_id", "id AS rank", "id AS local_rank",
+            "id AS globalTid", "'communication' AS event_name",
+            "if(id % 4 < 3, 'x', concat('v', id % 3)) AS event_value",
+            "id % 1000 AS start", "id % 1000 + 5 + id % 700 AS end", "5 + id % 700 AS duration",
+        )
+        result = split_wait(df)
+        rows = result.collect()
+        plan = result._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    data = df.toPandas()
+    joined = data.groupby(["run_id", "step_id", "event_value"])["start"].transform("max")
+    data["wait"] = (joined - data.start).where(data.end > joined, 0)
+    data["transfer"] = data.duration - data.wait
+    assert sorted((r["rank"], r["wait"], r["transfer"]) for r in rows) == sorted(
+        zip(data["rank"], data.wait, data.transfer, strict=True)
+    )
+
+
+def test_long_names_are_not_broadcast(spark, make):
+    """The size of the names counts, not their number, and planning runs no job."""
+    names = spark.range(3000).selectExpr(
+        "'r' AS run_id", "cast(id AS int) AS id", "repeat(concat('cudaLaunchKernel', id), 500) AS value"
+    )
+    calls = make("runtime", [("r", TID, 0, 1, n, n) for n in range(50)])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10k")
+    try:
+        named = calls.join(call_names(names), ["run_id", "nameId"])
+        plan = named._jdf.queryExecution().executedPlan().toString()
+        looked_up = string_lookup(calls, names, "nameId", "name")
+        other = looked_up._jdf.queryExecution().executedPlan().toString()
+        assert named.count() == looked_up.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in plan and "Broadcast" not in other
+
+
+def test_the_first_span_does_not_depend_on_the_order_of_rows(analyse):
+    spans = [
+        step(),
+        span(10, 100, event="input", name="input", tensor=[[2], "float16"]),
+        span(10, 50, event="input", name="input", tensor=[[2], "float16"]),
+    ]
+    for rows in (spans, spans[::-1]):
+        host = analyse(spans=rows).view("step_input_host_stats").collect()
+        assert [(r["duration"], r["duration_sum"]) for r in host] == [(40, 130)]
+
+
 def test_spans_survive_bad_text_and_escapes(analyse):
     a = analyse(
         spans=[

@@ -8,7 +8,8 @@ from tracewise.plans.report_job import run_report
 from tracewise.plans.reports import REPORTS
 from tracewise.schemas import SCHEMAS, SQLITE_TABLES, TraceTables
 from tracewise.sources.inventory import discover_runs, require_complete
-from tracewise.sources.power import read_power
+from tracewise.sources.power import power_quality, read_power
+from tracewise.sources.sinks import write_table
 from tracewise.sources.traces import read_sqlite_table, read_trace, write_trace
 
 
@@ -126,6 +127,12 @@ def test_power_files_of_different_columns(spark, tmp_path):
     assert watts["a", 2, "GPU-x"] == 4.0 and watts["b", 1, "GPU-z"] == 8.25
 
 
+def test_lost_power_values_are_counted(spark, tmp_path):
+    (tmp_path / "a_power_draw.csv").write_text("1.0\n2.0\nGPU-x,GPU-y\n1.5,2.5,3.5\n3.0,\n4.0,n/a\n")
+    (tmp_path / "b_power_draw.csv").write_text("GPU-z\n7.25\n")
+    assert power_rows(power_quality(spark, str(tmp_path))) == [("a", 5, 2, 1, 1), ("b", 1, 0, 0, 0)]
+
+
 def test_a_power_file_in_many_splits(spark, tmp_path):
     """Headers change along the file and hold for the splits after them."""
     lines, expected = [], []
@@ -195,3 +202,42 @@ def test_report_job(spark, folder, tmp_path):
     run_report(spark, saved, output, override=True)
     again = spark.read.csv(f"{output}/system_ips.csv", header=True, inferSchema=True)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, ips))
+
+
+def test_runs_with_fewer_steps(spark, folder, tmp_path):
+    """Left out of the reports and listed, or in them with their own last step."""
+    short = run_rows("m_2_8", 8)
+    # The second step starts at 10,000; nothing of it is in the run that is cut.
+    for table in ("spans", "runtime", "kernels", "copies"):
+        at = {"spans": 3, "runtime": 2, "kernels": 2, "copies": 2}[table]
+        short[table] = [r for r in short[table] if r[at] < 9000]
+    (folder / "nested" / "m_2_8.sqlite").unlink()
+    write_sqlite(folder / "nested" / "m_2_8.sqlite", short)
+    for per_run, batches, left in ((False, {"1"}, [("m_2_8", 0)]), (True, {"1", "8"}, [])):
+        output = str(tmp_path / f"out{per_run}")
+        run_report(spark, str(folder), output, per_run=per_run)
+        rows = spark.read.csv(f"{output}/system_ips.csv", header=True).collect()
+        assert {r["Batch Size"] for r in rows} == batches
+        listed = spark.read.parquet(f"{output}/left_out_runs")
+        assert [(r["run_id"], r["last_step"]) for r in listed.collect()] == left
+
+
+def test_a_failing_job_keeps_the_last_output(spark, folder, tmp_path):
+    output = tmp_path / "out"
+    run_report(spark, str(folder), str(output))
+    before = sorted(p.name for p in output.iterdir())
+    (folder / "m_2_1_power_draw.csv").write_text("1.0\n" + POWER)
+    with pytest.raises(ValueError, match="power samples"):
+        run_report(spark, str(folder), str(output), override=True)
+    assert sorted(p.name for p in output.iterdir()) == before
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["in", "out"]
+    for place in (folder, folder / "out", tmp_path):
+        with pytest.raises(ValueError, match="overlap"):
+            run_report(spark, str(folder), str(place), override=True)
+
+
+def test_tables_are_written_in_few_files(spark, tmp_path):
+    df = spark.range(0, 20_000, numPartitions=8).selectExpr("concat('r', id % 50) AS run_id", "id")
+    write_table(df, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 100
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 20_000

@@ -1,4 +1,4 @@
-"""Command line: ``python -m tracewise --input DIR --output DIR [--override]``."""
+"""Command line: ``python -m tracewise --input DIR --output DIR [--override] [--per-run]``."""
 
 import argparse
 
@@ -12,8 +12,12 @@ def main() -> None:
     parser.add_argument("--output", required=True, help="folder for tables and reports")
     parser.add_argument("--override", action="store_true", help="replace existing output")
     parser.add_argument("--lenient", action="store_true", help="go on when checks fail")
+    parser.add_argument("--per-run", action="store_true", help="report each run's own last step")
     args = parser.parse_args()
-    run_report(get_session(), args.input, args.output, args.override, strict=not args.lenient)
+    run_report(
+        get_session(), args.input, args.output, args.override,
+        strict=not args.lenient, per_run=args.per_run,
+    )
 
 
 if __name__ == "__main__":

@@ -1,27 +1,27 @@
-"""Joins with small tables, and the last-step filter."""
+"""Lookup of names, and the last-step filter."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows it has at most ``max_rows``.
+def string_lookup(df: DataFrame, string_ids: DataFrame, id_column: str, name: str) -> DataFrame:
+    """``df`` with the text of ``id_column``; NULL for an id without one.
 
-    A larger one is returned unmarked, for a shuffle join.
+    Names may be of any size: Spark broadcasts them below its threshold in bytes.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    names = string_ids.select("run_id", F.col("id").alias(id_column), F.col("value").alias(name))
+    return df.join(names, ["run_id", id_column], "left")
 
 
-def string_lookup(df: DataFrame, string_ids: DataFrame, id_column: str, name: str) -> DataFrame:
-    """``df`` with the text of ``id_column``; NULL for an id without one."""
-    names = string_ids.select("run_id", F.col("id").alias(id_column), F.col("value").alias(name))
-    return df.join(broadcast_if_small(names), ["run_id", id_column], "left")
+def left_out_runs(df: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Runs without a row in the last step of all runs: ``run_id`` and their own last step."""
+    steps = df if steps is None else steps
+    last = steps.agg(F.max("step_id")).scalar()
+    return (
+        steps.groupBy("run_id").agg(F.max("step_id").alias("last_step"))
+        .filter(F.col("last_step").isNull() | (F.col("last_step") < last))
+    )
 
 
 def last_step(df: DataFrame, steps: DataFrame | None = None, per_run: bool = False) -> DataFrame:

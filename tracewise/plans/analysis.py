@@ -131,7 +131,9 @@ class TraceAnalysis:
         self.system_stats.createOrReplaceTempView("system_stats")
 
     def quality_checks(self) -> DataFrame:
-        return quality.quality_checks(self.step_spans, self.step_calls, self.step_device)
+        return quality.quality_checks(
+            self.tables.spans, self.step_spans, self.step_calls, self.step_device
+        )
 
     def decode_quality(self) -> DataFrame:
         t = self.tables

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.scalars import _literal_map, duration, per_second, process_id
 from tracewise.operators.containment import contained_in
-from tracewise.operators.lookup import broadcast_if_small
 from tracewise.plans.spans import POSITION, STEP_COLUMNS
 from tracewise.schemas import CALL_PATTERNS, EVENT_CALLS
 
@@ -21,7 +23,8 @@ def call_names(string_ids: DataFrame) -> DataFrame:
         F.when(F.col("value").ilike(pattern), F.lit(kind))
         for kind, pattern in CALL_PATTERNS.items()
     ]
-    return string_ids.select(
+    wanted = [F.col("value").ilike(pattern) for pattern in CALL_PATTERNS.values()]
+    return string_ids.filter(reduce(or_, wanted)).select(
         "run_id",
         F.col("id").alias("nameId"),
         F.col("value").alias("function_name"),
@@ -35,7 +38,7 @@ def step_runtime(steps: DataFrame, runtime: DataFrame, string_ids: DataFrame) ->
     The calls of all four in one join: copies for input and output, kernel
     launches for compute and communication. The kind is part of the join key.
     """
-    calls = runtime.join(broadcast_if_small(call_names(string_ids)), ["run_id", "nameId"]).select(
+    calls = runtime.join(call_names(string_ids), ["run_id", "nameId"]).select(
         "run_id", "globalTid", "call_kind", "start", "end", "correlationId", "function_name"
     )
     owners = steps.withColumn("call_kind", _literal_map(EVENT_CALLS)[F.col("event_name")]).filter(
@@ -117,12 +120,19 @@ def split_wait(kernels: DataFrame) -> DataFrame:
     """Communication kernels with their time before and after the last worker joined.
 
     A kernel that ended by then had nothing to wait for. The start is found by
-    an aggregation that combines before its shuffle and is joined back, so a
-    communication with very many kernels is never held in one task.
+    an aggregation that combines before its shuffle and is joined back. The keys
+    are joined as one struct: the aggregation is not distributed by that, so both
+    sides of the join are shuffled for it and adaptive execution can split a
+    communication with very many kernels. The other side has one row for each.
     """
-    joined = transfer_start(kernels).withColumnRenamed("start", "joined")
+    keys = ["run_id", "step_id", *EVENT]
+    # A struct with a NULL equals itself, unlike the NULL.
+    known = kernels.na.drop(subset=keys)
+    joined = transfer_start(known).select(
+        F.struct(*keys).alias("_communication"), F.col("start").alias("joined")
+    )
     early = F.col("end") <= F.col("joined")
-    return kernels.join(joined, ["run_id", "step_id", *EVENT]).select(
+    return known.withColumn("_communication", F.struct(*keys)).join(joined, "_communication").select(
         *STEP, "globalTid", *EVENT, "start",
         F.when(early, F.lit(0)).otherwise(F.col("joined") - F.col("start")).alias("wait"),
         F.when(early, F.col("end") - F.col("start"))

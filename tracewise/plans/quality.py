@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.payload import decode_payload, tensor_bytes, tensors_bytes
-from tracewise.operators.lookup import broadcast_if_small
+from tracewise.plans.calls import split_wait
 from tracewise.schemas import EVENT_TYPES, PUSH_POP_RANGE
 
 # (event, stage) pairs whose row count must equal the event's span count.
@@ -22,8 +22,13 @@ _CHECKS = [
 ]
 
 
-def quality_checks(steps: DataFrame, calls: DataFrame, device: DataFrame) -> DataFrame:
-    """One row per run and check: expected and actual rows, and whether they agree."""
+def quality_checks(
+    spans: DataFrame, steps: DataFrame, calls: DataFrame, device: DataFrame
+) -> DataFrame:
+    """One row per run and check: expected and actual rows, and whether they agree.
+
+    Every run with a span has all checks, whatever was found in it.
+    """
     events = ["input", "output", "communication"]
 
     def counts(df: DataFrame, stage: str) -> DataFrame:
@@ -34,18 +39,16 @@ def quality_checks(steps: DataFrame, calls: DataFrame, device: DataFrame) -> Dat
             .withColumn("stage", F.lit(stage))
         )
 
-    # A communication kernel is split if its step and name are known.
-    split = device.filter(
-        (F.col("event_name") == "communication")
-        & F.col("step_id").isNotNull()
-        & F.col("event_value").isNotNull()
-        & F.col("start").isNotNull()
+    split = split_wait(device.filter(F.col("event_name") == "communication"))
+    none = spans.select("run_id").distinct().selectExpr(
+        "run_id", "cast(NULL AS string) AS event_name", "0L AS rows", "'run' AS stage"
     )
     found = (
-        counts(steps, "range")
+        none.unionByName(counts(steps, "range"))
         .unionByName(counts(calls, "runtime"))
         .unionByName(counts(device, "kernel"))
-        .unionByName(counts(split, "split_kernel"))
+        .unionByName(counts(split.filter("wait IS NOT NULL"), "wait_kernel"))
+        .unionByName(counts(split.filter("transfer IS NOT NULL"), "transfer_kernel"))
     )
 
     def rows(event: str, stage: str):
@@ -53,11 +56,10 @@ def quality_checks(steps: DataFrame, calls: DataFrame, device: DataFrame) -> Dat
         return F.coalesce(F.sum(F.when(wanted, F.col("rows"))), F.lit(0))
 
     def check(event: str, stage: str):
-        source = "split_kernel" if stage in ("wait_kernel", "transfer_kernel") else stage
         return F.struct(
             F.lit(f"step_{event}_{stage}").alias("check"),
             rows(event, "range").alias("expected"),
-            rows(event, source).alias("actual"),
+            rows(event, stage).alias("actual"),
         )
 
     return (
@@ -84,6 +86,13 @@ def decode_quality(spans: DataFrame, runtime: DataFrame, string_ids: DataFrame)
             )
         )
     )
+    # Missing, or not whole numbers.
+    unusable_ids = (event == "inference") & (
+        F.col("payload.step").isNull()
+        | F.col("payload.rank").isNull()
+        | F.col("payload.local_rank").isNull()
+        | F.col("payload.batch_size").isNull()
+    )
     text = F.col("text")
     of_spans = ranges.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("spans"),
@@ -93,6 +102,7 @@ def decode_quality(spans: DataFrame, runtime: DataFrame, string_ids: DataFrame)
             "malformed_text"
         ),
         F.count_if(push_pop & unknown_size).alias("unknown_tensor_size"),
+        F.count_if(push_pop & unusable_ids).alias("unusable_ids"),
         F.count_if(F.col("end").isNull()).alias("open_spans"),
         F.count_if(F.col("end") < F.col("start")).alias("reversed_spans"),
     )
@@ -104,7 +114,7 @@ def decode_quality(spans: DataFrame, runtime: DataFrame, string_ids: DataFrame)
             F.count(F.lit(1)).alias("calls"),
             F.count_if(F.col("end") < F.col("start")).alias("reversed_calls"),
         )
-        .join(broadcast_if_small(names), ["run_id", "nameId"], "left")
+        .join(names, ["run_id", "nameId"], "left")
         .groupBy("run_id")
         .agg(
             F.sum("calls").alias("calls"),

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.operators.lookup import last_step
+from tracewise.operators.lookup import last_step, left_out_runs
 from tracewise.plans.analysis import TraceAnalysis
 from tracewise.plans.reports import REPORTS, report_table
-from tracewise.session import Staging, path_exists
+from tracewise.session import Staging, delete_path, path_exists
 from tracewise.sources.inventory import discover_runs, require_complete, run_inventory
-from tracewise.sources.sinks import prepare_output, write_report, write_table
-from tracewise.sources.traces import is_parquet_trace, read_trace
+from tracewise.sources.power import POWER_FAULTS, power_quality
+from tracewise.sources.sinks import check_output, replace_output, write_report, write_table
+from tracewise.sources.traces import is_parquet_trace, read_trace, write_trace
 
-_UNREADABLE = ["unknown_event_type", "malformed_text", "unknown_tensor_size", "unknown_name"]
+_UNREADABLE = [
+    "unknown_event_type", "malformed_text", "unknown_tensor_size", "unusable_ids", "unknown_name",
+]
 
 
 def require_quality(checks: DataFrame, decoded: DataFrame) -> None:
@@ -26,35 +31,66 @@ def require_quality(checks: DataFrame, decoded: DataFrame) -> None:
         raise ValueError(f"unreadable rows: {[r.asDict() for r in bad]}")
 
 
+def require_power_quality(cells: DataFrame) -> None:
+    """Raise if power samples had no header, cells no column, or cells were no numbers."""
+    bad = cells.filter(" OR ".join(f"{c} > 0" for c in POWER_FAULTS)).take(10)
+    if bad:
+        raise ValueError(f"unreadable power samples: {[r.asDict() for r in bad]}")
+
+
 def run_report(
-    spark: SparkSession, input: str, output: str, override: bool = False, strict: bool = True
+    spark: SparkSession,
+    input: str,
+    output: str,
+    override: bool = False,
+    strict: bool = True,
+    per_run: bool = False,
 ) -> None:
     """Analyse all runs under ``input`` and write every table and report to ``output``.
 
     ``strict`` stops on failed checks; otherwise their result is only written.
+    Reports are of the last step of all runs together, or with ``per_run`` of
+    each run's own; ``left_out_runs`` lists the runs that this leaves out. The
+    output appears when all of it is written, and only then replaces another.
     """
     if not path_exists(spark, input):
         raise ValueError(f"input does not exist: {input}")
-    if is_parquet_trace(spark, input):
-        tables = read_trace(spark, input)
-        require_complete(run_inventory(tables.spans, tables.power))
-    else:
+    check_output(spark, input, output, override)
+    with_files = not is_parquet_trace(spark, input)
+    if with_files:
         require_complete(discover_runs(spark, input))
-        tables = read_trace(spark, input)
-    prepare_output(spark, output, override)
+    tables = read_trace(spark, input)
+    if not with_files:
+        require_complete(run_inventory(tables.spans, tables.power))
 
     staging = Staging(spark)
+    new = f"{output.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
     try:
+        if with_files:
+            # Each table is used several times; the files are read once.
+            power_cells = write_table(power_quality(spark, input), f"{new}/power_quality")
+            write_trace(tables, f"{staging.root}/trace")
+            tables = read_trace(spark, f"{staging.root}/trace")
         analysis = TraceAnalysis(tables, staging)
-        checks = write_table(analysis.quality_checks(), f"{output}/quality_checks")
-        decoded = write_table(analysis.decode_quality(), f"{output}/decode_quality")
+        checks = write_table(analysis.quality_checks(), f"{new}/quality_checks")
+        decoded = write_table(analysis.decode_quality(), f"{new}/decode_quality")
         if strict:
             require_quality(checks, decoded)
+            if with_files:
+                require_power_quality(power_cells)
         stats = {
-            "worker": write_table(analysis.worker_stats, f"{output}/worker_stats", csv=True),
-            "system": write_table(analysis.system_stats, f"{output}/system_stats", csv=True),
+            "worker": write_table(analysis.worker_stats, f"{new}/worker_stats", csv=True),
+            "system": write_table(analysis.system_stats, f"{new}/system_stats", csv=True),
+        }
+        left_out = left_out_runs(analysis.inference)
+        (left_out.limit(0) if per_run else left_out).write.parquet(f"{new}/left_out_runs")
+        last = {
+            level: staging.table(f"last_{level}", last_step(df, analysis.inference, per_run))
+            for level, df in stats.items()
         }
         for name, report in REPORTS.items():
-            write_report(name, report_table(name, last_step(stats[report.level])), output)
+            write_report(name, report_table(name, last[report.level]), new)
+        replace_output(spark, new, output)
     finally:
+        delete_path(spark, new)
         staging.close()

@@ -6,7 +6,7 @@ a grouping column, which Spark pushes below the aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.plans.calls import split_wait
@@ -22,19 +22,31 @@ def _with_layer(df: DataFrame) -> DataFrame:
     return df.withColumn("layer", F.when(layered, F.col("event_value")).otherwise(F.lit("")))
 
 
+def _first_span(*columns: str) -> Column:
+    """These columns of the earliest span; of spans that start together the one that ends first."""
+    at = F.struct("start", "end", "globalTid")
+    return F.min_by(F.struct(*columns), F.when(F.col("start").isNotNull(), at))
+
+
+def _first_thread() -> Column:
+    at = F.when(F.col("start").isNotNull(), F.struct("start", "globalTid"))
+    return F.min_by("globalTid", at).alias("globalTid")
+
+
 def host_stats(steps: DataFrame) -> DataFrame:
     """Span side. ``duration`` is that of the earliest span; bytes are sums."""
     return (
         _with_layer(steps.filter(F.col("event_name").isin(_EVENTS)))
         .groupBy(*LAYER_KEYS)
         .agg(
-            F.min_by("globalTid", "start").alias("globalTid"),
-            F.min_by("duration", "start").alias("duration"),
+            _first_span("globalTid", "duration").alias("_first"),
             F.sum("duration").alias("duration_sum"),
             F.sum("bytes").alias("bytes"),
             F.sum("send_bytes").alias("send_bytes"),
             F.sum("recv_bytes").alias("recv_bytes"),
         )
+        .select("*", "_first.*")
+        .drop("_first")
     )
 
 
@@ -44,7 +56,7 @@ def device_stats(device: DataFrame) -> DataFrame:
         _with_layer(device.filter(F.col("event_name").isin("input", "compute", "output")))
         .groupBy(*LAYER_KEYS)
         .agg(
-            F.min_by("globalTid", "start").alias("globalTid"),
+            _first_thread(),
             F.sum("bytes").alias("bytes"),
             F.sum("duration").alias("duration"),
             F.avg("throughput").alias("throughput"),
@@ -59,7 +71,7 @@ def communication_device_stats(device: DataFrame) -> DataFrame:
         _with_layer(kernels)
         .groupBy(*LAYER_KEYS)
         .agg(
-            F.min_by("globalTid", "start").alias("globalTid"),
+            _first_thread(),
             F.sum("wait").alias("wait"),
             F.sum("transfer").alias("transfer"),
         )
@@ -116,7 +128,7 @@ def layer_stats(steps: DataFrame, device: DataFrame) -> DataFrame:
     apart and joined, so both are reduced before the same single shuffle.
     """
     spans = steps.filter(F.col("event_name").isin(_EVENTS)).select(
-        *STEP_KEYS, "event_name", "event_value", "globalTid", "start", "duration", "bytes",
+        *STEP_KEYS, "event_name", "event_value", "globalTid", "start", "end", "duration", "bytes",
         "send_bytes", "recv_bytes", F.lit(1).alias("spans"),
     )
     work = device.filter(F.col("event_name").isin("input", "compute", "output")).select(
@@ -138,8 +150,7 @@ def layer_stats(steps: DataFrame, device: DataFrame) -> DataFrame:
         .agg(
             F.count("spans").alias("spans"),
             F.count("works").alias("works"),
-            F.min_by("globalTid", "start").alias("globalTid"),
-            F.min_by("duration", "start").alias("host_duration"),
+            _first_span("globalTid", "duration").alias("_first"),
             F.sum("duration").alias("host_duration_sum"),
             F.sum("bytes").alias("host_bytes"),
             F.sum("send_bytes").alias("send_bytes"),
@@ -151,7 +162,8 @@ def layer_stats(steps: DataFrame, device: DataFrame) -> DataFrame:
             F.sum("transfer").alias("transfer"),
         )
         .filter((F.col("spans") > 0) & (F.col("works") > 0))
-        .drop("spans", "works")
+        .withColumns({"globalTid": F.col("_first.globalTid"), "host_duration": F.col("_first.duration")})
+        .drop("spans", "works", "_first")
     )
 
 

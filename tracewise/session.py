@@ -56,6 +56,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system, without a slash at the end."""
+    jpath, fs = _file_system(spark, path)
+    return fs.makeQualified(jpath).toString().rstrip("/")
+
+
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    jpath, fs = _file_system(spark, path)
+    if not fs.rename(jpath, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
 class Staging:
     """Intermediate tables written once as Parquet and read many times.
 

@@ -44,4 +44,4 @@ def write_trace(tables: TraceTables, root: str, mode: str = "errorifexists") ->
     for name in SCHEMAS:
         df = getattr(tables, name)
         if df is not None:
-            df.write.mode(mode).partitionBy("run_id").parquet(f"{root}/{name}")
+            df.hint("rebalance", "run_id").write.mode(mode).partitionBy("run_id").parquet(f"{root}/{name}")
