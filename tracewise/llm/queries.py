@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.llm import (
-    mixing, packing, page_diff, postings, prefix_counts, quality, secrets, simhash, sql, toxicity, warc,
+    chosen_path, collocations, mixing, packing, page_diff, postings, prefix_counts, quality, secrets, simhash, sql,
+    toxicity, warc, whitening,
 )
 from tracewise.llm.common import words
 
@@ -102,6 +103,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), min_count=10, top=2000, absorbed=50)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), most=4)
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -114,6 +128,9 @@ def llm_queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
+        "op11_collocations": op11_collocations,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_chosen_path": op13_chosen_path,
     }
 
 

@@ -55,4 +55,72 @@ WARC = """
            CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
     FROM payloads LEFT JOIN firsts USING (payload_digest)"""
 
-ORACLES = {"op3_quality_rules": QUALITY, "op4_warc": WARC}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS = f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents
+    ), texts AS (
+        SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+    ), phrases AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p
+        FROM texts, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k
+    ), f AS (
+        SELECT lang, k, p, count(*) AS f FROM phrases GROUP BY ALL
+    ), totals AS (
+        SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+    ), frequent AS (
+        SELECT * FROM f WHERE k > 1 AND f >= 10
+    ), covered AS (
+        SELECT lang, part AS p, max(f) AS most
+        FROM (SELECT lang, f, unnest([p[1:2], p[2:3]]) AS part FROM frequent WHERE k = 3) GROUP BY ALL
+    ), cuts AS (
+        SELECT c.lang, c.p, c.f AS a, cut, l.f AS l, r.f AS r,
+               ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM frequent) c
+        LEFT JOIN covered v ON v.lang = c.lang AND v.p = c.p
+        JOIN f l ON l.lang = c.lang AND l.p = c.p[1:cut]
+        JOIN f r ON r.lang = c.lang AND r.p = c.p[cut + 1:]
+        WHERE v.most IS NULL OR 100 * v.most < 50 * c.f
+    ), least AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+    ), ranked AS (
+        SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM least
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+           phrase, a, l, r, n, score
+    FROM ranked JOIN totals USING (lang)
+    QUALIFY rank <= 2000"""
+
+CHOSEN_PATH = f"""
+    WITH RECURSIVE texts AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE
+            list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+        FROM texts
+    ), items AS (
+        SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+    ), links AS (
+        SELECT a.doc_id AS u, b.doc_id AS v
+        FROM items a JOIN items b ON a.x = b.x AND a.doc_id != b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n
+        HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), reached AS (
+        SELECT doc_id AS d, doc_id AS c FROM documents
+        UNION
+        SELECT links.v, reached.c FROM reached JOIN links ON reached.d = links.u
+    ), components AS (
+        SELECT d, min(c) AS component_id FROM reached GROUP BY d
+    )
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM sets JOIN components ON d = doc_id"""
+
+ORACLES = {
+    "op3_quality_rules": QUALITY,
+    "op4_warc": WARC,
+    "op11_collocations": COLLOCATIONS,
+    "op13_chosen_path": CHOSEN_PATH,
+}
