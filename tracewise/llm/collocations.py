@@ -33,7 +33,7 @@ from tracewise.llm.common import staged
 
 BITS = 21
 #: Words with a short code, at most: eight bytes each are sent to every task.
-SHORT_WORDS = (1 << BITS) - 1
+SHORT_WORDS = 1 << 18
 #: Of a text longer than this, so many bytes are taken apart at a time.
 BLOCK = 1 << 22
 #: Words that are taken apart at a time, and positions that are counted together.
@@ -166,9 +166,9 @@ def _short_words(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         k = row["k"]
     total = sum(row["n"] for row in sizes)
-    chosen = words.filter(power >= k).select("hash", (F.col("n") * HOT_WORDS >= F.lit(total)).alias("hot")).toPandas()
-    chosen = chosen.sort_values("hash")
-    return chosen["hash"].to_numpy(np.int64), chosen["hot"].to_numpy(bool)
+    chosen = words.filter(power >= k).select("hash", (F.col("n") * HOT_WORDS >= F.lit(total)).alias("hot")).toArrow()
+    chosen = chosen.sort_by("hash")
+    return chosen["hash"].to_numpy(), chosen["hot"].to_numpy()
 
 
 def _codes(hashes: np.ndarray, short: np.ndarray) -> np.ndarray:
