@@ -37,7 +37,7 @@ SHORT_WORDS = 1 << 18
 #: Of a text longer than this, so many bytes are taken apart at a time.
 BLOCK = 1 << 22
 #: Words that are taken apart at a time, and positions that are counted together.
-CHUNK, COUNTED = 1 << 20, 1 << 22
+CHUNK, COUNTED = 1 << 18, 1 << 21
 #: A word is hot from this share of all words on; a pair is no hotter than its words.
 HOT_WORDS, SALTS = 1000, 64
 
@@ -193,12 +193,42 @@ def _summed(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray):
     ]
 
 
-def _w1() -> Column:
-    return F.expr(f"if(x >= 0 AND y = 0, shiftright(x, {BITS}), x)")
+def _merged(batches: Iterator, min_count: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Node flows and heavy edges from sorted edges: x, y, salt, and z (-1 for a node) and n.
 
+    Between batches only the last edge and the flow of its node so far are kept.
+    """
+
+    def runs(*columns: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], *[np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]]))
+
+    edge = [np.empty(0, np.int64)] * 5  # x, y, salt, z, n
+    node = [np.empty(0, np.int64)] * 4  # x, y, salt, flow
 
-def _w2() -> Column:
-    return F.expr(f"if(x >= 0 AND y = 0, x & {_MASK}L, y)")
+    def out(rows: list[np.ndarray], ended: list[np.ndarray]):
+        heavy = (rows[4] >= min_count) & (rows[3] != 0)
+        marked = [*ended[:3], np.full(len(ended[0]), -1, np.int64), ended[3]]
+        return tuple(np.concatenate([r[heavy], m]) for r, m in zip(rows, marked))
+
+    for batch in batches:
+        rows = [np.concatenate([e, c.to_numpy().astype(np.int64)]) for e, c in zip(edge, batch.columns)]
+        if not len(rows[0]):
+            continue
+        first = runs(*rows[:4])
+        rows = [c[first] for c in rows[:4]] + [np.add.reduceat(rows[4], first)]
+        edge, rows = [c[-1:] for c in rows], [c[:-1] for c in rows]
+        if not len(rows[0]):
+            continue
+        nodes = [np.concatenate([n, c]) for n, c in zip(node, [*rows[:3], rows[4]])]
+        first = runs(*nodes[:3])
+        nodes = [c[first] for c in nodes[:3]] + [np.add.reduceat(nodes[3], first)]
+        node, nodes = [c[-1:] for c in nodes], [c[:-1] for c in nodes]
+        yield out(rows, nodes)
+    if len(edge[0]):
+        nodes = [np.concatenate([n, c]) for n, c in zip(node, [*edge[:3], edge[4]])]
+        first = runs(*nodes[:3])
+        nodes = [c[first] for c in nodes[:3]] + [np.add.reduceat(nodes[3], first)]
+        yield out(edge, nodes)
 
 
 def graph(
@@ -230,8 +260,8 @@ def graph(
             salt = np.where(spread, 1 + w3 % SALTS, 0)
             for at in range(0, len(n), 1 << 17):
                 part = slice(at, at + (1 << 17))
-                arrays = [pa.array(a[part].astype(t)) for a, t in ((x, "i8"), (y, "i8"), (w3, "i8"), (salt, "i4"), (n, "i8"))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["x", "y", "z", "salt", "n"])
+                arrays = [pa.array(a[part].astype(t)) for a, t in ((x, "i8"), (y, "i8"), (salt, "i4"), (w3, "i8"), (n, "i8"))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["x", "y", "salt", "z", "n"])
 
         for tokens, langs, other, names in _chunks(batches, block):
             _, hashes, which = _distinct(tokens, langs, names, seed)
@@ -246,21 +276,30 @@ def graph(
         if held:
             yield from counted()
 
+    def nodes_of(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for x, y, salt, z, n in _merged(batches, min_count):
+            packed = (x >= 0) & (y == 0)
+            arrays = [
+                pa.array(np.where(packed, x >> BITS, x)),
+                pa.array(np.where(packed, x & _MASK, y)),
+                pa.array(z, mask=z == -1),
+                pa.array(n),
+                pa.array(salt > 0),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["w1", "w2", "w3", "n", "spread"])
+
     texts = documents.select(F.col(text).cast("string"), F.col(lang).cast("string"))
-    edges = texts.mapInArrow(edges_of, "x bigint, y bigint, z bigint, salt int, n bigint")
-    edges = edges.repartition("x", "y", "salt").groupBy("x", "y", "salt", "z").agg(F.sum("n").alias("n"))
-    heavy = F.when((F.col("n") >= min_count) & (F.col("z") != 0), F.struct("z", "n"))
-    nodes = staged(
-        edges.groupBy("x", "y", "salt").agg(F.sum("n").alias("flow"), F.collect_list(heavy).alias("edges")),
-        "collocation-nodes",
-    )
-    named = nodes.select(_w1().alias("w1"), _w2().alias("w2"), "salt", "flow", "edges")
-    spread = named.filter("salt > 0").groupBy("w1", "w2").agg(F.sum("flow").alias("flow"))
-    flows = named.filter("salt = 0").select("w1", "w2", "flow").unionByName(spread)
-    heavy_edges = staged(
-        named.filter("size(edges) > 0").select("w1", "w2", F.inline("edges")).withColumnRenamed("z", "w3"),
-        "collocation-edges",
+    edges = texts.mapInArrow(edges_of, "x bigint, y bigint, salt int, z bigint, n bigint")
+    edges = edges.repartition("x", "y", "salt").sortWithinPartitions("x", "y", "salt", "z")
+    merged = staged(
+        edges.mapInArrow(nodes_of, "w1 bigint, w2 bigint, w3 bigint, n bigint, spread boolean"), "collocation-graph"
     )
+    nodes = merged.filter("w3 IS NULL").withColumnRenamed("n", "flow")
+    spread = nodes.filter("spread").groupBy("w1", "w2").agg(F.sum("flow").alias("flow"))
+    flows = nodes.filter("NOT spread").select("w1", "w2", "flow").unionByName(spread)
+    heavy_edges = merged.filter("w3 IS NOT NULL").select("w1", "w2", "w3", "n")
 
     @F.pandas_udf("bigint")
     def code(hashes: pd.Series) -> pd.Series:
