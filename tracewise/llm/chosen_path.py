@@ -30,8 +30,9 @@ from tracewise.llm.common import connected_components, join_keyed, staged
 from tracewise.llm.text import word_blocks
 
 COORDINATES = 64
-#: Sets of a node of up to this size are all compared with each other.
-SMALL_NODE = 256
+#: A node is compared as it is if its pairs of a row outside its largest class and any row are no more
+#: than the square of this; others branch.
+SMALL_NODE = 512
 #: Share of the links of exactly the least similarity that trees find which are DEPTH levels deep.
 RECALL, DEPTH = 0.9999, 4
 #: Two bits of each least element are compared before the sets; of the 128 pairs of bits so many may
@@ -89,7 +90,7 @@ def _least(elements: np.ndarray) -> np.ndarray:
 
 def _sets(texts, shingle: int) -> Iterator[list[np.ndarray]]:
     """The sets of consecutive texts, a few megabytes of words at a time."""
-    words, ends, done = [], [], []
+    words, ends = [], []
 
     def taken():
         hashes = _hashed(words) if words else np.empty(0, np.uint64)
@@ -200,60 +201,81 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, percent: int, name: str) ->
 
 
 def _led(rows: DataFrame, level: int, name: str) -> DataFrame:
-    """Rows of nodes with more than one class, with their ``size`` and ``leader``, written."""
+    """Rows of nodes with more than one class, written.
+
+    With the ``leader`` of the node, its largest class ``major``, and how many
+    pairs there are of a row of another class and any row, its ``work``.
+    """
     order = F.lit(0x5DEECE66D * level)  # another leader on each level
-    nodes = rows.groupBy("node").agg(
-        F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"),
-        F.min(F.col("rep").bitwiseXOR(order)).alias("least_rep"),
-    ).filter("low != high")
-    nodes = nodes.select("node", "size", F.col("least_rep").bitwiseXOR(order).alias("leader"))
+    classes = rows.groupBy("node", "class").agg(
+        F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(order)).alias("least_rep")
+    )
+    nodes = classes.groupBy("node").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "class")).alias("major"), F.min("least_rep").alias("least_rep")
+    ).filter("size > major.n")
+    nodes = nodes.select(
+        "node", F.col("major.class").alias("major"), (F.col("size") * (F.col("size") - F.col("major.n"))).alias("work"),
+        F.col("least_rep").bitwiseXOR(order).alias("leader"),
+    )
     return staged(rows.join(nodes, "node"), name)
 
 
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of one node and different classes that may be linked."""
+    rows = rows.select("node", "rep", "n", "bits0", "bits1", "class", (F.col("class") == F.col("major")).alias("main"))
+    a, b = (_side(rows, s, "node", "class", "main") for s in "ab")
+    pairs = a.filter("NOT a_main").join(b, F.col("a_node") == F.col("b_node")).filter(
+        (F.col("b_main") | (F.col("a") < F.col("b"))) & (F.col("a_class") != F.col("b_class")) & _alike("a", "b", percent)
+    )
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def links(
     sets: DataFrame, signed: DataFrame, percent: int = 80, recall: float = RECALL, small: int = SMALL_NODE
 ) -> DataFrame:
-    """Links ``a``, ``b`` between different sets that connect what is connected; ``sets`` has one row for each."""
+    """Links ``a``, ``b`` between different sets that connect what is connected; ``sets`` has one row for each.
+
+    On the first level every set meets its leaders, and the least of those that
+    its bits are near to in small nodes. The classes that this gives leave few
+    pairs to compare, however large groups are.
+    """
     similarity = percent / 100
     trees = trees_for(recall, similarity, DEPTH)
-    roots = sets.select("rep", "least", F.explode(F.expr(f"sequence(1L, {trees}L)")).alias("node"))
-    rows = _children(roots, similarity, "rep", F.col("rep").alias("class"))
-    rows = _led(rows, 0, "paths-1")
+    carried = ["rep", "n", "bits0", "bits1", "class"]
+    roots = sets.select("*", F.col("rep").alias("class"), F.explode(F.expr(f"sequence(1L, {trees}L)")).alias("node"))
+    rows = _led(_children(roots, similarity, *carried), 0, "paths-1")
 
     star = rows.filter("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     star = star.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").filter(_alike("a", "b", percent))
-    found = _confirmed(star.select("a", "b"), signed, percent, "paths-star")
+    nearest = _near(rows.filter(F.col("work") <= small**2), percent).groupBy("b").agg(F.min("a").alias("a"))
+    pairs = star.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(nearest).distinct()
+    found = _confirmed(pairs, signed, percent, "paths-first")
     classes = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "paths-classes")
     known = staged(
         sets.select("rep", "n", "bits0", "bits1").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("class", F.coalesce("component", "rep")).drop("component"),
         "paths-known",
     )
-    rows = staged(rows.drop("class").join(known, "rep"), "paths-rows")
+    rows = _led(rows.select("node", "rep").join(known, "rep"), 0, "paths-rows")
 
     candidates = []
     level = 1
     while True:
-        few = rows if level >= DEEPEST else rows.filter(F.col("size") <= small)
-        a, b = (_side(few.select("node", "rep", "n", "bits0", "bits1", "class"), s, "node", "class") for s in "ab")
-        near = a.join(b, F.col("a_node") == F.col("b_node")).filter(
-            (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & _alike("a", "b", percent)
-        )
-        candidates.append(staged(near.select("a", "b").distinct(), "paths-near"))
-        many = rows.filter(F.col("size") > small)
+        few = rows if level >= DEEPEST else rows.filter(F.col("work") <= small**2)
+        candidates.append(staged(_near(few, percent).distinct(), "paths-near"))
+        many = rows.filter(F.col("work") > small**2)
         if level >= DEEPEST or not many.limit(1).count():
             break
         if level > 1:  # the first level's rows have met their leaders
-            star = many.filter("rep != leader").select("node", F.col("rep").alias("a"), F.col("leader").alias("b"))
-            met = star.join(_side(known, "a"), "a").join(_side(known, "b", "class"), "b").filter(_alike("a", "b", percent))
-            met = met.select("a", "b", "b_class").distinct()
-            linked = _confirmed(met.select("a", "b"), signed, percent, "paths-star")
+            star = many.filter("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+            met = star.join(_side(known, "a", "class"), "a").join(_side(known, "b", "class"), "b")
+            met = met.filter(_alike("a", "b", percent) & (F.col("a_class") != F.col("b_class"))).select("a", "b")
+            linked = _confirmed(met, signed, percent, "paths-star")
             found = found.unionByName(linked)
             joined = linked.join(known.select(F.col("rep").alias("b"), F.col("class").alias("met")), "b")
             many = many.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("leader"), "met"), ["rep", "leader"], "left")
             many = many.withColumn("class", F.coalesce("met", "class"))
         level += 1
-        carried = ["rep", "n", "bits0", "bits1", "class"]
         grown = many.select("node", *carried).join(sets.select("rep", "least"), "rep")
         rows = _led(_children(grown, similarity, *carried), level, f"paths-{level}")
     pairs = candidates[0]
