@@ -6,11 +6,14 @@ are in FIXTURES.md; ``oracle.py`` has the same ones for DuckDB.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.schemas import SCHEMAS, TraceTables
 from tracewise.session import Staging
+from tracewise.sources.layout import read_layout, write_layout
 
 _WEIGHTS = '[[[64, 32], "float16"], [[32], "float16"]]'
 
@@ -153,8 +156,11 @@ def trace_tables(spark: SparkSession, sf_dir: str) -> TraceTables:
 
 
 def staged_tables(spark: SparkSession, sf_dir: str, staging: Staging) -> TraceTables:
-    """The derived tables written as Parquet, as recorded traces would be."""
+    """The derived tables saved in their layout, as recorded traces would be."""
     tables = trace_tables(spark, sf_dir)
-    return TraceTables(
+    plain = TraceTables(
         **{name: staging.table(f"trace_{name}", getattr(tables, name)) for name in SCHEMAS}
     )
+    root = f"{staging.root}/layout-{uuid.uuid4().hex[:8]}"
+    write_layout(plain, root)
+    return read_layout(spark, root)

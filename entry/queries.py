@@ -18,6 +18,7 @@ from tracewise.plans import spans as span_plans
 from tracewise.plans import system
 from tracewise.plans.analysis import TraceAnalysis
 from tracewise.plans.reports import REPORTS, with_log2_axis
+from tracewise.schemas import SCHEMAS
 from tracewise.session import Staging
 from tracewise.sources.inventory import run_inventory
 
@@ -51,7 +52,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scan_spans(spark, sf_dir):
-    return analysis(spark, sf_dir).tables.spans
+    return analysis(spark, sf_dir).tables.spans.select(*SCHEMAS["spans"].names)
 
 
 def power_long(spark, sf_dir):

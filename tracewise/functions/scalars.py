@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.schemas import EVENT_TYPES, NANOSECOND
@@ -19,6 +19,13 @@ def process_id(column: str) -> Column:
     return F.expr(f"`{column}` div {_ID_RANGE} % {_ID_RANGE}")
 
 
+def process_of(df: DataFrame) -> Column:
+    """Process number of the rows of a trace table: its own column if it has been laid out by it."""
+    if "pid" in df.columns:
+        return F.col("pid")
+    return process_id("globalTid" if "globalTid" in df.columns else "globalPid")
+
+
 def thread_id(column: str) -> Column:
     return F.col(column) % F.lit(_ID_RANGE)
 

@@ -53,12 +53,14 @@ def contained_in(
     outer: DataFrame,
     keys: Sequence[str],
     carry: Sequence[str],
+    bounded: bool = False,
 ) -> DataFrame:
     """Rows of ``inner`` with the ``carry`` columns of each outer row around them.
 
     Both sides have ``start`` and ``end``. Nested and overlapping outer rows all
     match. Intervals with a NULL end or ``end < start`` neither contain nor are
-    contained.
+    contained. With ``bounded``, partitions of ``outer`` are known to fit in memory
+    and are hashed instead of sorted.
     """
     proper = outer.filter(F.col("end") > F.col("start")).select(
         *keys,
@@ -88,6 +90,8 @@ def contained_in(
         .filter(F.col("_width") > _exponent(F.col("end") - F.col("start")))
         .withColumn("_bucket", _bucket("start"))
     )
+    if bounded:
+        filed = filed.hint("shuffle_hash")
     # An inner row has one bucket per width, so a pair meets only once.
     return (
         probes.join(filed, [*keys, "_width", "_bucket"])

@@ -42,7 +42,16 @@ class TraceAnalysis:
         self.staging = staging
 
     def _shared(self, name: str, df: DataFrame) -> DataFrame:
-        return self.staging.table(name, df) if self.staging else df
+        if not self.staging:
+            return df
+        if self.tables.buckets and "pid" in df.columns:
+            return self.staging.bucketed(name, df, self.tables.buckets)
+        return self.staging.table(name, df)
+
+    @property
+    def _bounded(self) -> bool:
+        """Whether the rows of a process are in one bucket, of a size that the layout has checked."""
+        return bool(self.tables.buckets)
 
     # Shared results.
 
@@ -52,19 +61,21 @@ class TraceAnalysis:
 
     @cached_property
     def step_spans(self) -> DataFrame:
-        return self._shared("step_spans", spans.step_spans(self.tables.spans, self.inference))
+        return self._shared("step_spans", spans.step_spans(self.tables.spans, self.inference, self._bounded))
 
     @cached_property
     def step_calls(self) -> DataFrame:
         t = self.tables
         return self._shared(
-            "step_calls", calls.step_runtime(self.step_spans, t.runtime, t.string_ids)
+            "step_calls", calls.step_runtime(self.step_spans, t.runtime, t.string_ids, self._bounded)
         )
 
     @cached_property
     def step_device(self) -> DataFrame:
         t = self.tables
-        return self._shared("step_device", calls.step_device(self.step_calls, t.kernels, t.copies))
+        return self._shared(
+            "step_device", calls.step_device(self.step_calls, t.kernels, t.copies, self._bounded)
+        )
 
     @cached_property
     def host_stats(self) -> DataFrame:
@@ -100,7 +111,7 @@ class TraceAnalysis:
         if name == "step_inference_stats":
             return stats.step_inference_stats(self.inference)
         if name == "step_range":
-            return spans.step_range(self.tables.spans, self.inference)
+            return spans.step_range(self.tables.spans, self.inference, self._bounded)
         if name.endswith("_range"):
             return getattr(spans, name)(self.view("step_range"))
         if name.endswith("_runtime"):

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.scalars import _literal_map, duration, per_second, process_id
+from tracewise.functions.scalars import _literal_map, duration, per_second, process_of
 from tracewise.operators.containment import contained_in
 from tracewise.plans.spans import POSITION, STEP_COLUMNS
 from tracewise.schemas import CALL_PATTERNS, EVENT_CALLS
@@ -32,14 +32,17 @@ def call_names(string_ids: DataFrame) -> DataFrame:
     )
 
 
-def step_runtime(steps: DataFrame, runtime: DataFrame, string_ids: DataFrame) -> DataFrame:
+def step_runtime(
+    steps: DataFrame, runtime: DataFrame, string_ids: DataFrame, bounded: bool = False
+) -> DataFrame:
     """Host calls inside input, compute, communication and output spans.
 
     The calls of all four in one join: copies for input and output, kernel
     launches for compute and communication. The kind is part of the join key.
     """
     calls = runtime.join(call_names(string_ids), ["run_id", "nameId"]).select(
-        "run_id", "globalTid", "call_kind", "start", "end", "correlationId", "function_name"
+        "run_id", process_of(runtime).alias("pid"), "globalTid", "call_kind", "start", "end",
+        "correlationId", "function_name",
     )
     owners = steps.withColumn("call_kind", _literal_map(EVENT_CALLS)[F.col("event_name")]).filter(
         F.col("call_kind").isNotNull()
@@ -47,8 +50,9 @@ def step_runtime(steps: DataFrame, runtime: DataFrame, string_ids: DataFrame) ->
     return contained_in(
         calls,
         owners,
-        ["run_id", "globalTid", "call_kind"],
-        [*STEP_COLUMNS, "pid", "tid", *EVENT],
+        ["run_id", "pid", "globalTid", "call_kind"],
+        [*STEP_COLUMNS, "tid", *EVENT],
+        bounded,
     ).select(
         *STEP, *POSITION, *EVENT, "start", "end", "correlationId", "function_name", "call_kind"
     )
@@ -61,13 +65,19 @@ def runtime_of(calls: DataFrame, event: str) -> DataFrame:
     )
 
 
-def step_device(calls: DataFrame, kernels: DataFrame, copies: DataFrame) -> DataFrame:
-    """Device kernels and copies started by the calls, with the call's step and event."""
+def step_device(
+    calls: DataFrame, kernels: DataFrame, copies: DataFrame, bounded: bool = False
+) -> DataFrame:
+    """Device kernels and copies started by the calls, with the call's step and event.
+
+    With ``bounded``, partitions of the calls are known to fit in memory, and both
+    kinds are joined where they are.
+    """
 
     def activity(df, kind, size):
         return df.select(
             "run_id",
-            process_id("globalPid").alias("pid"),
+            process_of(df).alias("pid"),
             "correlationId",
             F.lit(kind).alias("call_kind"),
             "start",
@@ -75,11 +85,16 @@ def step_device(calls: DataFrame, kernels: DataFrame, copies: DataFrame) -> Data
             size.alias("bytes"),
         )
 
-    work = activity(kernels, "launch", F.lit(None).cast("bigint")).unionByName(
-        activity(copies, "copy", F.col("bytes"))
-    )
+    launches = activity(kernels, "launch", F.lit(None).cast("bigint"))
+    moves = activity(copies, "copy", F.col("bytes"))
     started = calls.select(*STEP, *POSITION, *EVENT, "correlationId", "function_name", "call_kind")
-    return started.join(work, ["run_id", "pid", "call_kind", "correlationId"]).select(
+    keys = ["run_id", "pid", "call_kind", "correlationId"]
+    if bounded:  # a union would give up the place of its rows
+        hashed = started.hint("shuffle_hash")
+        joined = launches.join(hashed, keys).unionByName(moves.join(hashed, keys))
+    else:
+        joined = started.join(launches.unionByName(moves), keys)
+    return joined.select(
         *STEP, *POSITION, *EVENT, "function_name", "correlationId", "start", "end", "bytes",
         duration().alias("duration"),
         per_second(F.col("bytes"), duration()).alias("throughput"),

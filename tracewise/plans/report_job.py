@@ -11,10 +11,11 @@ from tracewise.operators.lookup import last_step, left_out_runs
 from tracewise.plans.analysis import TraceAnalysis
 from tracewise.plans.reports import REPORTS, report_table
 from tracewise.session import Staging, delete_path, path_exists
+from tracewise.sources.layout import read_layout, write_layout
 from tracewise.sources.inventory import discover_runs, require_complete, run_inventory
 from tracewise.sources.power import POWER_FAULTS, power_quality
 from tracewise.sources.sinks import check_output, replace_output, write_report, write_table
-from tracewise.sources.traces import is_parquet_trace, read_trace, write_trace
+from tracewise.sources.traces import is_parquet_trace, read_trace
 
 _UNREADABLE = [
     "unknown_event_type", "malformed_text", "unknown_tensor_size", "unusable_ids", "unknown_name",
@@ -69,8 +70,8 @@ def run_report(
         if with_files:
             # Each table is used several times; the files are read once.
             power_cells = write_table(power_quality(spark, input), f"{new}/power_quality")
-            write_trace(tables, f"{staging.root}/trace")
-            tables = read_trace(spark, f"{staging.root}/trace")
+            write_layout(tables, f"{staging.root}/trace")
+            tables = read_layout(spark, f"{staging.root}/trace")
         analysis = TraceAnalysis(tables, staging)
         checks = write_table(analysis.quality_checks(), f"{new}/quality_checks")
         decoded = write_table(analysis.decode_quality(), f"{new}/decode_quality")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.payload import decode_payload, tensor_bytes, tensors_bytes
-from tracewise.functions.scalars import duration, process_id, thread_id
+from tracewise.functions.scalars import duration, process_of, thread_id
 from tracewise.operators.containment import contained_in
 from tracewise.schemas import PUSH_POP_RANGE
 
-SPAN_KEYS = ["run_id", "globalTid"]
+SPAN_KEYS = ["run_id", "pid", "globalTid"]
 STEP_COLUMNS = ["step_id", "rank", "local_rank"]
 POSITION = ["globalTid", "pid", "tid"]
 
@@ -24,7 +24,7 @@ def decode_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("payload", decode_payload(F.col("text"))).select(
         "run_id",
         "globalTid",
-        process_id("globalTid").alias("pid"),
+        process_of(spans).alias("pid"),
         thread_id("globalTid").alias("tid"),
         "eventType",
         "start",
@@ -60,16 +60,16 @@ def step_inference_range(spans: DataFrame) -> DataFrame:
     )
 
 
-def _in_step(spans: DataFrame, inference: DataFrame, *extra: str) -> DataFrame:
+def _in_step(spans: DataFrame, inference: DataFrame, *extra: str, bounded: bool = False) -> DataFrame:
     decoded = decode_spans(_push_pop(spans).filter(F.col("text") != ""))
     inner = decoded.select("run_id", *POSITION, "event_name", "event_value", "start", "end",
                            "duration", *extra)
-    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS)
+    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded)
 
 
-def step_range(spans: DataFrame, inference: DataFrame) -> DataFrame:
+def step_range(spans: DataFrame, inference: DataFrame, bounded: bool = False) -> DataFrame:
     """Every span inside an inference step, at any depth, with its text."""
-    return _in_step(spans, inference, "event").select(
+    return _in_step(spans, inference, "event", bounded=bounded).select(
         "run_id", *STEP_COLUMNS, *POSITION, "event_name", "event_value", "event",
         "start", "end", "duration",
     )
@@ -99,7 +99,7 @@ def step_communication_range(steps: DataFrame) -> DataFrame:
     return _range_of(steps, "communication", "send_tensors", "recv_tensors")
 
 
-def step_spans(spans: DataFrame, inference: DataFrame) -> DataFrame:
+def step_spans(spans: DataFrame, inference: DataFrame, bounded: bool = False) -> DataFrame:
     """``step_range`` with the bytes its text describes instead of the text.
 
     ``bytes`` is the tensor of an input or output and the weights of a compute
@@ -115,7 +115,7 @@ def step_spans(spans: DataFrame, inference: DataFrame) -> DataFrame:
         F.when(event == "communication", tensors_bytes(F.col("send_tensors"))).alias("send_bytes"),
         F.when(event == "communication", tensors_bytes(F.col("recv_tensors"))).alias("recv_bytes"),
     )
-    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS).select(
+    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded).select(
         "run_id", *STEP_COLUMNS, *POSITION, "event_name", "event_value", "start", "end",
         "duration", "bytes", "send_bytes", "recv_bytes",
     )

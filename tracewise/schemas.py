@@ -104,7 +104,10 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class TraceTables:
-    """The tables of all runs; every one carries ``run_id``."""
+    """The tables of all runs; every one carries ``run_id``.
+
+    In ``buckets`` by run and process, if there are any, they also carry ``pid``.
+    """
 
     spans: DataFrame
     runtime: DataFrame
@@ -112,3 +115,4 @@ class TraceTables:
     copies: DataFrame
     string_ids: DataFrame
     power: DataFrame | None = None
+    buckets: int = 0

@@ -78,6 +78,7 @@ class Staging:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.catalog: list[str] = []
         self.root = f"{shared_dir(spark)}/tracewise-{uuid.uuid4().hex}"
         jpath, fs = _file_system(spark, self.root)
         fs.mkdirs(jpath)
@@ -88,5 +89,16 @@ class Staging:
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, name: str, df: DataFrame, buckets: int) -> DataFrame:
+        """As ``table``, in buckets by run and process, for joins with others in such buckets."""
+        from tracewise.sources.layout import write_bucketed
+
+        saved, known_as = write_bucketed(df, f"{self.root}/{name}-{uuid.uuid4().hex[:8]}", buckets)
+        self.catalog.append(known_as)
+        return saved
+
     def close(self) -> None:
+        for name in self.catalog:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.catalog.clear()
         delete_path(self.spark, self.root)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewise.schemas import SCHEMAS, SQLITE_TABLES, TraceTables
 from tracewise.session import path_exists
+from tracewise.sources.layout import is_layout, read_layout
 from tracewise.sources.power import read_power
 from tracewise.sources.sqlite import SqliteTraceSource
 
@@ -31,7 +32,9 @@ def is_parquet_trace(spark: SparkSession, root: str) -> bool:
 
 
 def read_trace(spark: SparkSession, root: str) -> TraceTables:
-    """All tables under ``root``, whichever of the two layouts it has."""
+    """All tables under ``root``: laid out for joins, as plain Parquet, or the profiler's files."""
+    if is_layout(spark, root):
+        return read_layout(spark, root)
     if is_parquet_trace(spark, root):
         tables = {t: read_parquet_table(spark, root, t) for t in SCHEMAS}
         return TraceTables(**tables)
