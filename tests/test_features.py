@@ -121,6 +121,46 @@ def test_embedding_bag_sum_refuses_other_widths(spark, vector):
         bags.embedding_bag_sum(ids, table, 2).collect()
 
 
+@pytest.mark.parametrize("block", [1, 1 << 12, 32 << 20])
+@pytest.mark.parametrize("kind", ["bigint", "float"])
+def test_embedding_bag_sum_against_plain_sums(spark, monkeypatch, block, kind):
+    """Wide vectors, a large bag that many blocks share, a popular id, NULL keys, vectors and numbers."""
+    monkeypatch.setattr(bags, "_BLOCK_BYTES", block)
+    rng, width = np.random.default_rng(3), 512
+    vectors = {(t, i): rng.integers(-9, 9, width).tolist() for t in range(2) for i in range(20)}
+    vectors[0, 3], vectors[0, 4][7] = None, None
+    ids = [(f"s{rng.integers(30)}", int(rng.integers(2)), int(rng.integers(25))) for _ in range(400)]
+    ids += [("hot", 0, int(i)) for i in rng.integers(0, 20, 500)] + [(None, 1, 5), (None, 1, 5), ("empty", 1, None)]
+    ids += [(f"p{i}", 0, 1) for i in range(200)]
+    want = {}
+    for s, t, i in ids:
+        total, missing = want.setdefault((s, t), [np.zeros(width), 0])
+        if i is not None and (t, i) not in vectors:
+            want[s, t][1] += 1
+        elif i is not None and vectors[t, i] is not None:
+            total += [0 if v is None else v for v in vectors[t, i]]
+    table = spark.createDataFrame(
+        [(t, i, v) for (t, i), v in vectors.items()], "table_id int, idx bigint, vector array<bigint>"
+    ).withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
+    bagged = spark.createDataFrame(ids, "sample_id string, table_id int, idx bigint").repartition(7)
+    if kind == "float":  # a column that is never NULL
+        bagged = bagged.withColumn("table_id", F.coalesce("table_id", F.lit(0)))
+    got = bags.embedding_bag_sum(bagged, table, width)
+    assert got.schema["pooled"].dataType.elementType.simpleString() == ("bigint" if kind == "bigint" else "double")
+    found = {(r.sample_id, r.table_id): (r.pooled, r.missing) for r in got.collect()}
+    assert found == {k: (total.tolist(), missing) for k, (total, missing) in want.items()}
+
+
+def test_embedding_bag_sum_of_nothing_and_too_much(spark):
+    ids = spark.createDataFrame([(1, 0, 5), (1, 0, 5)], "sample_id bigint, table_id int, idx bigint")
+    table = spark.createDataFrame([(0, 5, [1 << 62])], "table_id int, idx bigint, vector array<bigint>")
+    with pytest.raises(Exception, match="leave 64 bits"):
+        bags.embedding_bag_sum(ids, table, 1).collect()
+    assert bags.embedding_bag_sum(ids.limit(0), table, 1).collect() == []
+    (row,) = bags.embedding_bag_sum(ids, table.limit(0), 1).collect()
+    assert (row.pooled, row.missing) == ([0], 2)
+
+
 @pytest.mark.parametrize("count", [0, 1, 2, 5])
 def test_pairwise_dot(spark, count):
     x = np.random.default_rng(count).integers(-5, 5, (count, 3)).astype(float)
