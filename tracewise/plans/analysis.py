@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from tracewise.functions.sql import register_functions
 from tracewise.operators.lookup import last_step
 from tracewise.plans import calls, quality, reports, spans, stats, system, worker
 from tracewise.schemas import TraceTables
@@ -135,7 +136,9 @@ class TraceAnalysis:
         return list(_VIEWS)
 
     def create_views(self) -> None:
-        """Make every view, and the two statistics, available to SQL by name."""
+        """Make every view, the two statistics and the scalar functions available to SQL by name."""
+        register_functions(self.tables.spans.sparkSession, self.tables.string_ids)
+        self.tables.runtime.createOrReplaceTempView("runtime")
         for name in _VIEWS:
             self.view(name).createOrReplaceTempView(name)
         self.worker_stats.createOrReplaceTempView("worker_stats")
