@@ -174,6 +174,22 @@ def test_word_tokens_equal_the_library():
         assert own.of(text.encode()) == b"".join(i.to_bytes(4, "little") for i in e.ids)
 
 
+def test_words_of_letters_and_marks_equal_the_library():
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz" * 3 + "\u00DF\u00E0\u00E9\u00EF\u00F1\u00F6\u00F7\u00F8\u00FC\u00FF\u0301\u00C9Q"
+    marks = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))) + "".join(rnd.choice(marks) for _ in range(rnd.randint(0, 3)))
+             for _ in range(5000)]
+    own = WordTokens("word_bpe_49k.json")
+    for word, e in zip(words, tokenizer("word_bpe_49k.json").encode_batch(words, add_special_tokens=False)):
+        assert own.of(word.encode()) == b"".join(i.to_bytes(4, "little") for i in e.ids), word
+
+
+def test_tokenizers_of_another_kind_are_refused():
+    with pytest.raises(ValueError):
+        WordTokens("byte_bpe_50k.json")
+
+
 def test_prefix_counts_equal_the_library_at_every_prefix():
     own, library = prefix_counts.PrefixCounts("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.json")
     for text in [*strange_texts(150, 6), "I'll say they've", "x" * 300, " \n\n  end  "]:

@@ -236,8 +236,8 @@ def pieces(
     """Token pieces of documents: ``piece``, ``start``, ``length`` and ``ids_crc32`` for each id.
 
     A document is its ids and the end id; null and blank texts have the end only.
-    Only documents longer than ``capacity`` are cut. ``file`` names a tokenizer
-    that drops white space and never looks across it.
+    Only documents longer than ``capacity`` are cut. ``file`` names a byte-level tokenizer
+    that lowers case, drops white space and never looks across it; others are refused.
     """
     fields = [documents.schema[id]] + [
         T.StructField(c, T.IntegerType() if c == "piece" else T.LongType())
