@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.common import connected_components, join_keyed, staged
+from tracewise.llm.common import block_components, join_keyed, staged
 from tracewise.llm.text import word_blocks
 
 COORDINATES = 64
@@ -38,6 +38,8 @@ RECALL, DEPTH = 0.9999, 4
 #: Two bits of each least element are compared before the sets; of the 128 pairs of bits so many may
 #: differ. Of links with exactly a similarity of 0.8 about one in 10^5 has more.
 DIFFERENT_BITS = 32
+#: Levels that a set goes down at a time after the first: nodes on the way are not looked at.
+STEP = 3
 #: Nodes that are still large after so many levels are compared as they are.
 DEEPEST = 60
 #: Ids of sets that are needed for a comparison are broadcast up to this many.
@@ -250,7 +252,7 @@ def links(
     nearest = _near(rows.filter(F.col("work") <= small**2), percent).groupBy("b").agg(F.min("a").alias("a"))
     pairs = star.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(nearest).distinct()
     found = _confirmed(pairs, signed, percent, "paths-first")
-    classes = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "paths-classes")
+    classes = block_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "paths-classes")
     known = staged(
         sets.select("rep", "n", "bits0", "bits1").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("class", F.coalesce("component", "rep")).drop("component"),
@@ -275,9 +277,11 @@ def links(
             joined = linked.join(known.select(F.col("rep").alias("b"), F.col("class").alias("met")), "b")
             many = many.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("leader"), "met"), ["rep", "leader"], "left")
             many = many.withColumn("class", F.coalesce("met", "class"))
-        level += 1
+        level += STEP
         grown = many.select("node", *carried).join(sets.select("rep", "least"), "rep")
-        rows = _led(_children(grown, similarity, *carried), level, f"paths-{level}")
+        for _ in range(STEP):
+            grown = _children(grown, similarity, *carried, "least")
+        rows = _led(grown.select("node", *carried), level, f"paths-{level}")
     pairs = candidates[0]
     for more in candidates[1:]:
         pairs = pairs.unionByName(more)
@@ -310,7 +314,7 @@ def near_duplicates(
         "paths-sets",
     )
     found = links(sets, signed, percent, recall, small).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    members = staged(connected_components(found, "paths-components").withColumnRenamed("node", "rep"), "paths-members")
+    members = staged(block_components(found, "paths-components").withColumnRenamed("node", "rep"), "paths-members")
     # a member's class, and of the class the smallest id
     least = staged(
         members.join(equal.select("rep", "first"), "rep").groupBy("component")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from tracewise.session import Staging
 #: A key counts as hot from this share of all rows on, so there are at most as many hot keys.
 HOT_KEYS = 1000
 
+#: Edges that a task connects at a time.
+BLOCK_EDGES = 1 << 18
+
 #: White space of the word definition, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -81,6 +86,58 @@ def join_keyed(
     )
 
 
+def forests(edges: DataFrame, blocks: int) -> DataFrame:
+    """Edges ``u``, ``v`` (bigint) that connect what those of a block connect: each node with the smallest one.
+
+    A task takes a few hundred thousand edges at a time, so it needs the same room
+    for any number of them; blocks are partitions put together.
+    """
+
+    def connect(batches: Iterator) -> Iterator:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent[x]) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def taken():
+            nodes = list(parent)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"]
+            )
+            parent.clear()
+            return out
+
+        held = 0
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                parent[max(a, b)] = min(a, b)
+            held += batch.num_rows
+            if held >= BLOCK_EDGES:
+                yield taken()
+                held = 0
+        if parent:
+            yield taken()
+
+    return edges.select("u", "v").coalesce(blocks).mapInArrow(connect, "u bigint, v bigint")
+
+
+def block_components(edges: DataFrame, name: str) -> DataFrame:
+    """As ``connected_components``, for a staged table of edges between bigint nodes.
+
+    Blocks of edges are connected in their tasks first. Edges that fill one block
+    are done then; the forests of several go through the alternating steps, with
+    fewer edges and rounds than the edges themselves.
+    """
+    blocks = -(-edges.count() * 2 // BLOCK_EDGES) or 1
+    found = staged(forests(edges, blocks), name)
+    if blocks == 1:
+        return found.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return connected_components(found, name)
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of ``edges`` (u, v: not null).
 
