@@ -65,6 +65,33 @@ def test_parser_reads_foreign_records():
     assert not list(warc.records(io.BytesIO(b""), 0, everything, True))
 
 
+@pytest.mark.parametrize("kind", ["plain", "gzip", "member", "one member"])
+@pytest.mark.parametrize("payload", [True, False])
+def test_cut_off_records_are_not_handed_out(kind, payload):
+    rnd = np.random.default_rng(2)
+    row = {"record_type": "resource", "record_id": "r", "payload": rnd.bytes(100_000), "content_type": "text/plain"}
+    one, two = warc.record_bytes(row), warc.record_bytes({**row, "record_id": "s"})
+    pack = {"plain": lambda x: x, "gzip": gzip.compress, "member": warc.gzip_member}
+    data = gzip.compress(one + two) if kind == "one member" else b"".join(map(pack[kind], (one, two)))
+    assert len(list(warc.records(io.BytesIO(data), len(data), lambda h: True, payload))) == 2
+    for end in (len(data) - 40_000, len(data) - 99_900, len(data) - len(pack.get(kind, len)(two)) + 30 if kind != "one member" else 150_000):
+        got = []
+        with pytest.raises(warc.CutOff):
+            for headers, body in warc.records(io.BytesIO(data[:end]), end, lambda h: True, payload):
+                got.append((headers["warc-record-id"], body and len(body)))
+        assert got == [("<r>", 100_000 if payload else None)]
+
+
+def test_cut_off_files_fail_or_are_read_as_far(spark, tmp_path):
+    warc.register(spark)
+    row = {"record_type": "resource", "record_id": "r", "payload": b"x" * 5000, "content_type": "text/plain"}
+    (tmp_path / "a.warc").write_bytes(warc.record_bytes(row) + warc.record_bytes({**row, "record_id": "s"})[:-1000])
+    read = spark.read.format("warc")
+    with pytest.raises(Exception, match="ends inside a record"):
+        read.load(str(tmp_path)).collect()
+    assert [r.record_id for r in read.option("cutOff", "skip").load(str(tmp_path)).collect()] == ["r"]
+
+
 # Page text.
 
 

@@ -100,13 +100,17 @@ def gzip_member(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+class CutOff(ValueError):
+    """A file ends inside a record."""
+
+
 class _Stream:
     """Bytes of a file from a place on, plain or out of one gzip member."""
 
     CHUNK = 1 << 16
 
-    def __init__(self, file, start: int):
-        self.file, self.start, self.buffer, self.pool = file, start, b"", None
+    def __init__(self, file, start: int, size: int):
+        self.file, self.start, self.size, self.buffer, self.pool = file, start, size, b"", None
         file.seek(start)
         first = file.read(4096)
         self.gzipped = first[:2] == b"\x1f\x8b"
@@ -150,17 +154,22 @@ class _Stream:
         self.buffer = data[n:]
         return data[:n]
 
-    def skip(self, n: int) -> None:
-        """Passes over data; plain files are not read for it."""
+    def skip(self, n: int) -> bool:
+        """Passes over data, if there is so much; plain files are not read for it."""
         if not self.gzipped and n > len(self.buffer):
             self.file.seek(self.file.tell() + n - len(self.buffer))
             self.buffer = b""
-            return
+            return self.file.tell() <= self.size
         while n > 0:
             n -= len(self.buffer)
             self.buffer = b"" if n >= 0 else self.buffer[n:]
             if n > 0 and not self.more():
-                return
+                return False
+        return True
+
+    def is_cut(self) -> bool:
+        """Whether something is left that is no whole record, or the member has no end."""
+        return bool(self.buffer.strip()) or (self.gzipped and not self.pool.eof)
 
     def end(self) -> int:
         """Where the next record or member starts."""
@@ -178,14 +187,17 @@ class _Stream:
 def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
     """Headers (names in lower case) and payloads of the records whose headers are wanted.
 
-    The payload is None if it is not asked for. A record that is cut off ends the file.
+    The payload is None if it is not asked for. Raises ``CutOff`` at a record that
+    the file does not have whole, after those before it.
     """
     at = 0
     while at < size:
-        stream = _Stream(file, at)
+        stream = _Stream(file, at, size)
         while True:
             head = stream.until(b"\r\n\r\n")
             if head is None:
+                if stream.is_cut():
+                    raise CutOff(f"the file ends inside the headers of a record, after byte {at}")
                 break
             lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
             if not lines[0].startswith("WARC/"):
@@ -203,13 +215,20 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict, byte
             take = wanted(headers)
             if take and payload:
                 body = stream.take(length)
+                whole = len(body) == length
                 if headers.get("content-type", "").startswith("application/http"):
                     body = body.partition(b"\r\n\r\n")[2]
+            elif stream.length:
+                whole = at + stream.length <= size
+            else:
+                whole = stream.skip(length)
+            if not whole:
+                raise CutOff(f"the file ends inside a record of {length} bytes, after byte {at}")
             if take:
                 yield headers, body
             if stream.length:  # the member has this record only, and says where it ends
                 break
-            stream.skip(4 if take and payload else length + 4)
+            stream.skip(4)
             if not stream.gzipped and stream.end() >= size:
                 break
         after = stream.end()
@@ -250,6 +269,9 @@ class WarcReader(DataSourceReader):
         )
         self.path = options["path"]
         self.partition_bytes = int(options.get("partitionBytes", 64 << 20))
+        self.on_cut = options.get("cutOff", "fail")
+        if self.on_cut not in ("fail", "skip"):
+            raise ValueError("cutOff must be fail or skip")
         self.tests: list[tuple[str, str, tuple]] = []
         if types := options.get("recordTypes"):
             self.tests.append(("record_type", "in", tuple(types.split(","))))
@@ -289,12 +311,19 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
+    def _records(self, file, size: int, path: str):
+        try:
+            yield from records(file, size, self._wanted, "payload" in self.names)
+        except CutOff as e:
+            if self.on_cut == "fail":
+                raise CutOff(f"{path}: {e}") from None
+
     def read(self, partition):
         fs, _ = _open_fs(self.path)
         rows, held = [], 0
         for path, size in partition.files:
             with fs.open_input_file(path) as file:
-                for headers, body in records(file, size, self._wanted, "payload" in self.names):
+                for headers, body in self._records(file, size, path):
                     rows.append(
                         tuple(
                             body if n == "payload" else list(headers.items()) if n == "headers" else _value(n, headers)
@@ -355,7 +384,8 @@ class WarcDataSource(DataSource):
     Columns are those of ``SCHEMA`` or some of them: give ``.schema(...)`` without
     ``payload`` to read headers only. Options: ``recordTypes`` (comma-separated;
     filters do the same where the session pushes them down), ``partitionBytes``,
-    ``fileBytes``.
+    ``fileBytes``, ``cutOff``: a file that ends inside a record fails the job (``fail``,
+    the default) or gives the whole records before it (``skip``).
     """
 
     @classmethod
