@@ -105,6 +105,26 @@ def test_structure():
     assert page_diff.lines_of("plain  text<p>and <nav>unclosed") == (["plain text", "and", "unclosed"], False)
 
 
+def test_broken_markup():
+    text = lambda html: page_diff.lines_of(html)[0]
+    assert text("a<p>b <!-- <p>gone") == ["a", "b"] and text("a <!-- gone") == ["a"]
+    assert text("<p title='x>one</p><p>two") == ["one", "two"]
+    assert text('<p title="a > b">one<p title=\'">\'>two') == ["one", "two"]
+    assert text("<div class=ad><div>x</div>y</div>z<script>never closed <p>q") == ["z"]
+    assert text("<x class=ad>kept") == ["kept"] and text("1 < 2 <b>and</b> 3 > 2") == ["1 < 2 and 3 > 2"]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<a b='\"", "<!", "<!--", "</a", "<nav>", "<div class=ad><div>", "<script>",
+                                  "<x class=ad>", "<article>", "<", "<a '\">", "</nav "])
+@pytest.mark.parametrize("end", ["", ">", "'>", "</nav>"])
+def test_any_markup_takes_linear_time(part, end):
+    import time
+
+    start = time.process_time()
+    page_diff.lines_of(part * (1_000_000 // len(part)) + end)
+    assert time.process_time() - start < 10
+
+
 def test_common_lines_are_longest():
     rnd = np.random.default_rng(1)
     for _ in range(100):

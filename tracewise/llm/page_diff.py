@@ -46,9 +46,11 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 #: Pages aligned by one task, besides one more at either end.
 BLOCK = 512
 
+# a tag whose quotes do not match ends at the next >; nothing here goes back, so any page takes linear time
 _TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S
 )
+_CLOSING = re.compile(r"</([a-zA-Z][^\s/>]*+)\s*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)")
 
@@ -75,7 +77,10 @@ def lines_of(html: str | None) -> tuple[list[str], bool]:
     body: list[str] = []
     article: list[str] = []
     held: list[str] = []
-    depth, at, skip = 0, 0, []  # skip: the open furniture element, with the elements of its name inside
+    depth, at = 0, 0
+    skip, inside = "", 0  # the open furniture element, and how many of its name are open
+    last_close: dict[str, int] = {}
+    end = html.rfind(">") + 1  # no tag is complete after it
 
     def end_line() -> None:
         line = " ".join(unescape("".join(held)).split())
@@ -83,35 +88,40 @@ def lines_of(html: str | None) -> tuple[list[str], bool]:
         if line:
             (article if depth else body).append(line)
 
-    tags = iter(_TAG.finditer(html))
-    for m in tags:
+    for m in _TAG.finditer(html, 0, end):
         if m.start() < at:  # inside of raw content
             continue
         if not skip:
             held.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(html)
             continue
         tag, closes = m[2].lower(), m[1] == "/"
         if tag in RAW_TAGS and not closes:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            close = re.compile(rf"</{tag}\s*+>", re.I).search(html, at)
             at = close.end() if close else len(html)
             continue
         if skip:
-            if tag == skip[0] and tag not in VOID_TAGS:
-                skip = skip[:-1] if closes else skip + [tag]
+            if tag == skip and tag not in VOID_TAGS:
+                inside += -1 if closes else 1
+                if not inside:
+                    skip = ""
             continue
         if tag in LINE_TAGS or tag in FURNITURE_TAGS:
             end_line()
         if not closes and tag not in VOID_TAGS and _is_furniture(tag, m[3]):
             end_line()
+            if not last_close:
+                last_close = {"": 0} | {c[1].lower(): c.start() for c in _CLOSING.finditer(html)}
             # an element that never closes hides nothing
-            if re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at):
-                skip = [tag]
+            if last_close.get(tag, -1) >= at:
+                skip, inside = tag, 1
         elif tag in ("article", "main"):
             depth = max(0, depth - 1) if closes else depth + 1
     if not skip:
-        held.append(html[at:])
+        held.append(html[at:].partition("<!--")[0])
     end_line()
     return (article, True) if article else (body, False)
 
