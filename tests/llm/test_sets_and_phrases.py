@@ -298,3 +298,17 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     ]))
     empty = spark.createDataFrame([], "doc_id string, text string")
     assert chosen_path.near_duplicates(empty).collect() == []
+
+
+@pytest.mark.parametrize("edges_of_a_block", [1 << 18, 40])
+def test_components_by_blocks(spark, monkeypatch, edges_of_a_block):
+    from tracewise.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_EDGES", edges_of_a_block)
+    chain = [(i + 1, i) if i % 3 else (i, i + 1) for i in range(60)]
+    edges = chain + chain[:5] + [(500 + i, 1000) for i in range(40)] + [(7, 7)]
+    table = common.staged(spark.createDataFrame(edges, "u bigint, v bigint").repartition(6), "t")
+    got = [(r.node, r.component) for r in common.block_components(table, "t").collect()]
+    assert dict(got) == {**dict.fromkeys(range(61), 0), **{500 + i: 500 for i in range(40)}, 1000: 500}
+    assert len(got) == len(dict(got))
+    assert common.block_components(table.limit(0), "t").count() == 0
