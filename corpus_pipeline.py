@@ -10,23 +10,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewise.llm import mixing, packing, quality, secrets, simhash
-from tracewise.llm.common import staged, words
+from tracewise.llm.common import hashable, positional, staged, words
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the policy rejects."""
-    return quality.ledger(docs).filter(~quality.rejects("v1")).select(docs.columns)
+    rows, (text,) = positional(docs, "text")
+    return quality.ledger(rows, text).filter(~quality.rejects("v1")).select(rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of equal rows, one. Null ids come last."""
-    key = F.xxhash64(*docs.columns)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("key"))
-    found = simhash.near_duplicates(docs.select(place.alias("place"), "text"), id="place", shingle=3, distance=2)
+    """The document with the smallest id of each group; of equal rows, one. Null ids come last.
+
+    A row is known by 128 bits of all its columns.
+    """
+    rows, (id, text) = positional(docs, "doc_id", "text")
+    plain = hashable(rows)
+    key = F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(7), *plain).alias("b"))
+    place = F.struct(F.col(id).isNull().alias("no_id"), id, key.alias("key"))
+    found = simhash.near_duplicates(rows.select(place.alias("place"), text), "place", text, shingle=3, distance=2)
     first = found.filter(F.col("place") == F.col("component_id")).select(F.col("place.key").alias("_key")).distinct()
-    kept = docs.withColumn("_key", key).join(first, "_key", "left_semi")
+    kept = rows.withColumn("_key", key).join(first, "_key", "left_semi")
     same = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return kept.withColumn("_same", same).filter("_same = 1").select(docs.columns)
+    return kept.withColumn("_same", same).filter("_same = 1").select(rows.columns).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +42,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.copies(docs, F.size(words(F.col("text"))))
-    return mixed.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    rows, (text, source) = positional(docs, "text", "source")
+    mixed = mixing.copies(rows, F.size(words(F.col(text))), source).filter("copies > 0")
+    repeated = mixed.select(*rows.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
+    return repeated.drop("_copy").toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

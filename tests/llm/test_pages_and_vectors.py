@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewise.llm import packing, page_diff, postings, warc
+from tracewise.llm import mixing, packing, page_diff, postings, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 PAGES = "page_id bigint, url string, html string"
@@ -241,6 +241,27 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+
+    names = ["failed", "n_words", "Size", "target", "copies", "_key", "_same", "_copy", "FP", "component_id", "_secrets",
+             "place", "key", "no_id", "c1", "_part", "source_size", "_own", "label", "a.b"]
+    texts = [" ".join(f"w{i} and{i * k}" for i in range(60)) + ' token = "0123456789abcdef0123456789abcdef0123456%d"' % k
+             for k in range(1, 5)]
+    rows = [(k, t, "en", "s", len(t), *[f"{c}-{k}" for c in names], {"x": k}) for k, t in enumerate(texts)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame(rows, schema + ", extra map<string, int>")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema], name
+        seen = got.collect()
+        assert {r.doc_id for r in seen} == {0, 1, 2, 3}
+        for r in seen:
+            assert tuple(r)[5:-1] == tuple(f"{c}-{r.doc_id}" for c in names) and r.extra == {"x": r.doc_id}, name
+            assert r.n_chars == len(r.text)
+    assert simhash.near_duplicates(docs).count() == 4 and "a.b" in mixing.copies(docs, F.lit(3)).columns
+
+
 def test_pipeline_packs_all_that_the_mix_takes(spark):
     import corpus_pipeline as pipeline
 

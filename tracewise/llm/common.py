@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_staging(spark).root}/{name}-{uuid.uuid4().hex}"
 
 
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str | None]]:
+    """``df`` with its columns called ``c0``, ``c1``, ..., and what the named ones are called now (null: not there).
+
+    No column of the user's own can clash with an internal name then; ``toDF`` gives the
+    old names back. Names are looked up as they are, then without regard to case.
+    """
+    have = df.columns
+    lower = [c.lower() for c in have]
+    places = [
+        have.index(n) if n in have else lower.index(n.lower()) if n.lower() in lower else None for n in names
+    ]
+    return df.toDF(*[f"c{i}" for i in range(len(have))]), [None if i is None else f"c{i}" for i in places]
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that can be hashed: those without maps and variants in them."""
+    return [f.name for f in df.schema if not re.search(r"\bmap<|\bvariant\b", f.dataType.simpleString())]
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none of a null or blank one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

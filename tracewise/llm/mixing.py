@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm.common import join_keyed, staged, with_rank
+from tracewise.llm.common import hashable, join_keyed, staged, with_rank
 
 #: Fixed by the contract of the mix: weights by rank of the source, the share of
 #: all words to take and the copies a document may have.
@@ -116,15 +116,16 @@ def copies(documents: DataFrame, size: Column, source: str = "source", **shares)
     Documents without words have no copies. A null source is a source like any
     other. The rounding depends on the values of a row only, so reruns agree;
     rows that are equal in all columns are settled together in one block.
-    Columns of the input with these names give way.
+    Columns of the input with these names, in any case, give way.
     """
     new = ("size", "source_size", "target", "copies")
-    kept = [c for c in documents.columns if c not in new]
-    plain = [f.name for f in documents.schema if f.name in kept and f.dataType.typeName() not in ("map", "variant")]
-    rows = documents.select(
-        *kept, size.cast("bigint").alias("size"), F.xxhash64(F.lit(7), *plain).alias("_key")
-    )
-    light = staged(rows.select("_key", "size", F.col(source).alias("source")), "mix-rows")
+    kept = [c for c in documents.columns if c.lower() not in new]
+    # other names while the work is done, so that none of the user's can clash with an internal one
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    plain = hashable(documents.select(*own))
+    rows = documents.select(*own, size.cast("bigint").alias("size"), F.col(f"`{source}`").alias("source"))
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(7), *plain))
+    light = staged(rows.select("_key", "size", "source"), "mix-rows")
     sources = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     targets = staged(source_targets(sources, **shares), "mix-targets")
 
@@ -166,7 +167,9 @@ def copies(documents: DataFrame, size: Column, source: str = "source", **shares)
     numbered = decided.select(
         "_key", "source_size", "target", (F.col("_whole") + F.col("_part")).cast("int").alias("copies")
     )
-    return _by_place(rows, numbered)
+    return _by_place(rows.drop("source"), numbered).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *new
+    )
 
 
 def _by_place(rows: DataFrame, decided: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.common import staged, words
+from tracewise.llm.common import positional, staged, words
 
 PATTERN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: Signs that have transitions of their own: letters, then 0 for any digit; others share a place.
@@ -175,20 +175,23 @@ def scan(
 
 
 def redact(documents: DataFrame, text: str = "text", mark: str = "[SECRET]", **scan_options) -> DataFrame:
-    """The documents with every secret in the text replaced; ``n_chars`` follows if it is there."""
-    plain = [f.name for f in documents.schema if f.dataType.typeName() not in ("map", "variant")]
-    keyed = staged(documents.withColumn("_key", F.xxhash64(*plain)), "secret-documents")
-    found = scan(keyed, "_key", text, **scan_options).filter("is_secret")
+    """The documents with every secret in the text replaced; ``n_chars`` follows if it is there.
+
+    All other columns stay as they are, whatever their names. Equal rows are cleaned alike.
+    """
+    docs, (body, n_chars) = positional(documents, text, "n_chars")
+    keyed = staged(docs.withColumn("_key", F.monotonically_increasing_id()), "secret-documents")
+    found = scan(keyed.select("_key", body), "_key", body, **scan_options).filter("is_secret")
     own = staged(found.groupBy("_key").agg(F.collect_set("candidate").alias("_secrets")), "secret-found")
     # long ones first: a secret may be a part of another
     ordered = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
-    cleaned = F.aggregate(ordered, F.col(text), lambda t, s: F.replace(t, s, F.lit(mark)))
+    cleaned = F.aggregate(ordered, F.col(body), lambda t, s: F.replace(t, s, F.lit(mark)))
     out = keyed.join(own, "_key", "left").withColumn(
-        text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(cleaned)
+        body, F.when(F.col("_secrets").isNull(), F.col(body)).otherwise(cleaned)
     )
-    if "n_chars" in documents.columns:
+    if n_chars:
+        kind = docs.schema[n_chars].dataType
         out = out.withColumn(
-            "n_chars",
-            F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("bigint")),
+            n_chars, F.when(F.col("_secrets").isNull(), F.col(n_chars)).otherwise(F.length(body).cast(kind))
         )
-    return out.select(documents.columns)
+    return out.select(docs.columns).toDF(*documents.columns)

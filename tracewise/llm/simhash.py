@@ -131,8 +131,8 @@ def near_duplicates(
     that never give a component its name; a component of only such rows has a
     null one. Columns named ``fp`` or ``component_id`` give way.
     """
-    kept = [c for c in documents.columns if c not in (text, "fp", "component_id")]
-    rows = staged(documents.select(*kept, fingerprints(F.col(text), shingle).alias("fp")), "simhash-rows")
+    kept = [c for c in documents.columns if c.lower() not in (text.lower(), "fp", "component_id")]
+    rows = staged(documents.select(*[F.col(f"`{c}`") for c in kept], fingerprints(F.col(text), shingle).alias("fp")), "simhash-rows")
     nodes = staged(
         rows.groupBy("fp").agg(F.min(id).alias("first"), F.count("*").alias("n")), "simhash-nodes"
     )
