@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import os
 
 import numpy as np
 import pytest
@@ -95,23 +96,37 @@ def test_cut_off_files_fail_or_are_read_as_far(spark, tmp_path):
 # Page text.
 
 
+def kept_lines(html):
+    lines, kinds = page_diff.lines_of(html)
+    return [x for x, k in zip(lines, kinds) if k != page_diff.FURNITURE]
+
+
 def test_structure():
     html = """<html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
-    <nav><ul><li>menu</ul></nav><div class="ad box">buy</div><article class=post><h1>A &amp; B</h1>
+    <nav><ul><li>menu<li>more</ul></nav><div class="ad box">buy</div><article class=post><h1>A &amp; B</h1>
     <p>one <b>two</b>three<br>four <!-- <p>gone --> &copy; &am<aside>side</aside><p hidden>secret
     <span>x</span></p><form>f</form><section id="comments"><p>nice</p></section></article><footer>end</footer>"""
-    assert page_diff.lines_of(html) == (["A & B", "one twothree", "four © &am"], True)
-    assert page_diff.lines_of(None) == ([], False) and page_diff.lines_of("") == ([], False)
-    assert page_diff.lines_of("plain  text<p>and <nav>unclosed") == (["plain text", "and", "unclosed"], False)
+    lines, kinds = page_diff.lines_of(html)
+    assert [x for x, k in zip(lines, kinds) if k == page_diff.ARTICLE] == ["A & B", "one twothree", "four © &am"]
+    assert [x for x, k in zip(lines, kinds) if k == page_diff.FURNITURE] == [
+        "menu", "more", "buy", "side", "secret x", "f", "nice", "end"]
+    assert len(lines) == 11
+    assert page_diff.lines_of(None) == ([], []) and page_diff.lines_of("") == ([], [])
+    assert kept_lines("plain  text<p>and <nav>unclosed") == ["plain text", "and", "unclosed"]
 
 
 def test_broken_markup():
-    text = lambda html: page_diff.lines_of(html)[0]
-    assert text("a<p>b <!-- <p>gone") == ["a", "b"] and text("a <!-- gone") == ["a"]
-    assert text("<p title='x>one</p><p>two") == ["one", "two"]
-    assert text('<p title="a > b">one<p title=\'">\'>two') == ["one", "two"]
-    assert text("<div class=ad><div>x</div>y</div>z<script>never closed <p>q") == ["z"]
-    assert text("<x class=ad>kept") == ["kept"] and text("1 < 2 <b>and</b> 3 > 2") == ["1 < 2 and 3 > 2"]
+    assert kept_lines("a<p>b <!-- <p>gone") == ["a", "b"] and kept_lines("a <!-- gone") == ["a"]
+    assert kept_lines("<p title='x>one</p><p>two") == ["one", "two"]
+    assert kept_lines('<p title="a > b">one<p title=\'">\'>two') == ["one", "two"]
+    assert kept_lines("<div class=ad><div>x</div>y</div>z<script>never closed <p>q") == ["z"]
+    assert kept_lines("<x class=ad>kept") == ["kept"] and kept_lines("1 < 2 <b>and</b> 3 > 2") == ["1 < 2 and 3 > 2"]
+
+
+def test_names_that_only_hold_a_word_hide_nothing():
+    html = '<article><div class="social-history"><p>main</p></div><section id="widget-theory">too</section></article>'
+    assert kept_lines(html) == ["main", "too"]
+    assert kept_lines("<p>Long body text</p><article>teaser</article>") == ["Long body text", "teaser"]
 
 
 @pytest.mark.parametrize("part", ["<a ", '<a b="', "<a b='\"", "<!", "<!--", "</a", "<nav>", "<div class=ad><div>", "<script>",
@@ -125,20 +140,32 @@ def test_any_markup_takes_linear_time(part, end):
     assert time.process_time() - start < 10
 
 
-def test_common_lines_are_longest():
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_common_lines_are_longest(monkeypatch, bits):
+    monkeypatch.setattr(page_diff, "TABLE_BITS", bits)
     rnd = np.random.default_rng(1)
-    for _ in range(100):
-        a, b = rnd.integers(0, 5, 8).tolist(), rnd.integers(0, 5, 9).tolist()
-        table = np.zeros((9, 10), int)
-        for i in range(8):
-            for j in range(9):
+    for _ in range(300):
+        n, m = rnd.integers(0, 14, 2).tolist()
+        a, b = rnd.integers(0, 5, n).tolist(), rnd.integers(0, 5, m).tolist()
+        table = np.zeros((n + 1, m + 1), int)
+        for i in range(n):
+            for j in range(m):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         cut = page_diff.common_lines(a, b)
-        assert len(cut) == table[8, 9] and cut == sorted(set(cut))
+        assert len(cut) == table[n, m] and cut == sorted(set(cut))
         at = iter(b)
         assert all(a[i] in at for i in cut)  # a subsequence of b
 
 
+def test_long_pages_are_aligned_in_little_time():
+    import time
+
+    start = time.process_time()
+    assert len(page_diff.common_lines([1] * 20_000 + [2], [3] + [1] * 20_000)) == 20_000
+    assert len(page_diff.common_lines([1, 2] * 10_000, [2, 1, 1] * 7_000)) >= 14_000
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_template_lines_go_and_articles_stay(spark, monkeypatch, block):
     monkeypatch.setattr(page_diff, "BLOCK", block)
@@ -146,8 +173,11 @@ def test_template_lines_go_and_articles_stay(spark, monkeypatch, block):
     rows = [(i, f"http://h/a/{i}", page(i)) for i in range(9)]
     rows += [(20, "http://h/a/1x", "<article>Site of things<p>more</article>"), (21, None, None), (22, "http://[", ""),
              (23, "http://copy/1", page(1)), (24, "http://copy/2", page(1)), (23, "http://copy/1", page(1)),
-             (25, "http://long/1", "<p>w" * 20_000)]
-    pages = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit(1))
+             (25, "http://long/1", "<p>w" * 20_000 + "<p>own"), (26, "http://long/2", "<p>w" * 19_000 + "<p>another")]
+    pages = spark.createDataFrame(rows, PAGES).withColumns({"TEXT": F.lit(1), "cut": F.lit(2), "_found": F.lit(3),
+                                                            "page": F.lit(4), "Lines": F.lit(5), "c0": F.lit(6)})
+    assert page_diff.main_text(pages).columns == ["page_id", "url", "cut", "_found", "page", "Lines", "c0", "text", "n_chars"]
+    assert tuple(page_diff.main_text(pages).first())[2:7] == (2, 3, 4, 5, 6)
     got = [(r.page_id, r.text, r.n_chars) for r in page_diff.main_text(pages).collect()]
     assert len(got) == len(rows)
     text = {i: t for i, t, _ in got}
@@ -155,10 +185,35 @@ def test_template_lines_go_and_articles_stay(spark, monkeypatch, block):
         assert text[i] == f"story number {i}"
     assert text[20] == "Site of things more" and text[21] == "" and text[22] == ""
     assert text[23] == text[24] == "Site of things story number 1 call us"  # copies are not templates
+    assert text[25] == "w " * 1000 + "own" and text[26] == "another"
     assert all(n == len(t) for _, t, n in got)
     assert page_diff.main_text(pages.limit(0)).count() == 0
 
 
+def test_pairs_and_cuts_equal_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    parsed = page_diff.line_table(pages)
+    rows = sorted(parsed.drop("texts").collect(), key=lambda r: (r.host, r.path, r.page))
+    got = {r.page: r.cut for r in page_diff.template_lines(parsed).collect()}
+    removed = 0
+    for i, r in enumerate(rows):
+        near = [x for x in rows[max(i - 1, 0) : i] + rows[i + 1 : i + 2] if x.host == r.host]
+        start = lambda x: len(os.path.commonprefix([x.path, r.path]))  # noqa: B023
+        want = 0
+        if near:
+            pair = max(near, key=lambda x: (start(x), x.page == rows[i - 1].page))
+            a, b = ([h for h, k in zip(x.lines, x.kinds) if k != page_diff.ARTICLE] for x in (r, pair))
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for y, u in enumerate(a):
+                for z, v in enumerate(b):
+                    table[y + 1][z + 1] = table[y][z] + 1 if u == v else max(table[y][z + 1], table[y + 1][z])
+            want = table[-1][-1]
+        assert len(got.get(r.page, [])) == want
+        assert all(r.kinds[k] != page_diff.ARTICLE for k in got.get(r.page, []))
+        removed += want
+    assert removed > 0  # differencing removes lines of the given pages
+
+
 # Posting lists.
 
 

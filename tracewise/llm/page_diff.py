@@ -1,28 +1,27 @@
-"""Main text of pages: structure first, then differencing against the nearest URL.
+"""Main text of pages: differencing against the page with the nearest URL.
 
 The pages of a host are put in the order of their paths, and each is paired with
-the neighbour whose path shares more of its start. Their text lines are aligned by
-longest common subsequence; lines that both have belong to the template and go.
-Lines inside an article element are the article, whoever else has them; such pages
-show nothing of the template, so they are no neighbours either.
+the neighbour whose path shares more of its start. All text lines of the two, menus
+and footers among them, are aligned by longest common subsequence; lines that both
+have belong to the template and go. Structure supports this: lines inside an article
+element stay, whoever else has them, and what markup says is no main text goes even
+where the neighbour has another one.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.common import staged, with_rank
+from tracewise.llm.common import positional, staged, with_rank
 
 #: Elements without main text, elements that end a line, elements
 #: with raw content, elements without content, and names of page furniture.
@@ -43,9 +42,15 @@ FURNITURE_NAMES = frozenset(
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
+#: What a line is: open to differencing, of an article element, or furniture by its markup.
+OPEN, ARTICLE, FURNITURE = 0, 1, 2
+
 #: Pages aligned by one task, besides one more at either end.
 BLOCK = 512
 
+#: Bits of the alignment table held at once; longer pages are halved first.
+TABLE_BITS = 1 << 28
+
 # a tag whose quotes do not match ends at the next >; nothing here goes back, so any page takes linear time
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S
@@ -61,7 +66,8 @@ def _is_furniture(tag: str, attributes: str) -> bool:
     if not attributes or tag in ("html", "body", "main"):
         return False
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-    names = set(re.findall(r"[a-z]+", found.get("class", "") + " " + found.get("id", "")))
+    # a whole name only: "social-history" or "widget-theory" may be what an article is about
+    names = set((found.get("class", "") + " " + found.get("id", "")).split())
     return bool(
         names & FURNITURE_NAMES
         or found.get("role") in FURNITURE_ROLES
@@ -71,11 +77,11 @@ def _is_furniture(tag: str, attributes: str) -> bool:
     )
 
 
-def lines_of(html: str | None) -> tuple[list[str], bool]:
-    """The text lines of a page that may be main text, and whether they are those of an article element."""
+def lines_of(html: str | None) -> tuple[list[str], list[int]]:
+    """All text lines of a page but raw content and what the reader never sees, and what each of them is."""
     html = html or ""
-    body: list[str] = []
-    article: list[str] = []
+    lines: list[str] = []
+    kinds: list[int] = []
     held: list[str] = []
     depth, at = 0, 0
     skip, inside = "", 0  # the open furniture element, and how many of its name are open
@@ -86,13 +92,13 @@ def lines_of(html: str | None) -> tuple[list[str], bool]:
         line = " ".join(unescape("".join(held)).split())
         held.clear()
         if line:
-            (article if depth else body).append(line)
+            lines.append(line)
+            kinds.append(FURNITURE if skip else ARTICLE if depth else OPEN)
 
     for m in _TAG.finditer(html, 0, end):
         if m.start() < at:  # inside of raw content
             continue
-        if not skip:
-            held.append(html[at : m.start()])
+        held.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<!--") and not m[0].endswith("-->"):
@@ -104,9 +110,12 @@ def lines_of(html: str | None) -> tuple[list[str], bool]:
             at = close.end() if close else len(html)
             continue
         if skip:
+            if tag in LINE_TAGS or tag in FURNITURE_TAGS:
+                end_line()
             if tag == skip and tag not in VOID_TAGS:
                 inside += -1 if closes else 1
                 if not inside:
+                    end_line()
                     skip = ""
             continue
         if tag in LINE_TAGS or tag in FURNITURE_TAGS:
@@ -120,35 +129,65 @@ def lines_of(html: str | None) -> tuple[list[str], bool]:
                 skip, inside = tag, 1
         elif tag in ("article", "main"):
             depth = max(0, depth - 1) if closes else depth + 1
-    if not skip:
-        held.append(html[at:].partition("<!--")[0])
+    held.append(html[at:].partition("<!--")[0])
     end_line()
-    return (article, True) if article else (body, False)
+    return lines, kinds
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b."""
-    places = defaultdict(list)
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each start of ``a`` a number whose bit j is 0 where b[j] lengthens the longest common subsequence."""
+    places: dict[int, int] = {}
     for j, x in enumerate(b):
-        places[x].append(j)
-    # the longest increasing run of matching places, ends[k]: the least end of one of k + 1
-    ends: list[int] = []
-    tails: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(ends, j)
-            entry = (i, tails[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                tails.append(entry)
+        places[x] = places.get(x, 0) | 1 << j
+    everything = row = (1 << len(b)) - 1
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & everything
+        yield row
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """Lengths of the longest common subsequences with every start of b, from the last row."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence of a and b.
+
+    A row of the table is one number with a bit for each line of b. Of a table that
+    is too large to hold, a is halved and b cut where both halves together are longest.
+    """
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    ends = [*range(start)], [*range(len(a) - end, len(a))]
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return ends[0] + ends[1]
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        for up in _rows(a[:half], b):
+            pass
+        for down in _rows(a[half:][::-1], b[::-1]):
+            pass
+        cut = int((_lengths(up, len(b)) + _lengths(down, len(b))[::-1]).argmax())
+        found = common_lines(a[:half], b[:cut]) + [half + i for i in common_lines(a[half:], b[cut:])]
+    else:
+        rows = [(1 << len(b)) - 1, *_rows(a, b)]
+        i, j, found = len(a), len(b), []
+        while i and j:
+            if rows[i] >> j - 1 & 1:
+                j -= 1
+            elif not rows[i - 1] >> j - 1 & 1:
+                i -= 1
             else:
-                ends[k] = j
-                tails[k] = entry
-    out, entry = [], tails[-1] if tails else None
-    while entry:
-        out.append(entry[0])
-        entry = entry[1]
-    return out[::-1]
+                i, j = i - 1, j - 1
+                found.append(i)
+        found.reverse()
+    return ends[0] + [start + i for i in found] + ends[1]
 
 
 def _parse(url: str | None) -> tuple[str, str]:
@@ -165,47 +204,57 @@ def _shared_start(a: str, b: str) -> int:
 
 
 def _cuts(rows: pd.DataFrame) -> pd.DataFrame:
-    """The places of template lines for the pages of one block."""
+    """The places of template lines for the pages of one block.
+
+    Articles take part in no alignment, so lines that two of them have never stand for a template.
+    """
     rows = rows.sort_values("rank")
-    host, path, lines = rows["host"].tolist(), rows["path"].tolist(), [list(x) for x in rows["lines"]]
-    own, keys, out = rows["own"].tolist(), rows["_key"].tolist(), []
+    host, path, own, keys, out = *(rows[c].tolist() for c in ("host", "path", "own", "page")), []
+    places = [np.flatnonzero(np.asarray(k) != ARTICLE) for k in rows["kinds"]]
+    lines = [np.asarray(x, np.int64)[p].tolist() for x, p in zip(rows["lines"], places)]
+    covered = [len(p) < len(k) for p, k in zip(places, rows["kinds"])]
     for i in range(len(rows)):
         if not own[i]:
             continue
         near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and host[j] == host[i] and lines[j] != lines[i]]
+        # pages of which each has an article may have the same template all around it
+        if covered[i]:
+            near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and host[j] == host[i]]
         if near:
             j = max(near, key=lambda j: (_shared_start(path[i], path[j]), j == i - 1))
             cut = common_lines(lines[i], lines[j])
-            if cut and len(cut) < len(lines[i]):  # a page of nothing else is a copy, not a template
-                out.append((keys[i], cut))
-    return pd.DataFrame(out, columns=["_key", "cut"])
-
+            # a page of nothing else is a copy, not a template
+            if cut and (covered[i] or len(cut) < len(lines[i])):
+                out.append((keys[i], places[i][cut].tolist()))
+    return pd.DataFrame(out, columns=["page", "cut"])
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """All columns but the html, with ``text`` and ``n_chars`` (its code points).
 
-    Null and empty pages have an empty text; pages without a url form a host of
-    their own. Pages of a host that have the same lines are never compared with
-    each other. Columns named ``text`` or ``n_chars`` give way.
-    """
-    plain = [f.name for f in pages.schema if f.dataType.typeName() not in ("map", "variant")]
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    keyed = pages.withColumn("_key", F.xxhash64(*plain))
+def line_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The parsed pages, written: ``page``, ``host``, ``path``, ``texts``, ``lines`` (hashes), ``kinds`` and the other columns."""
 
     @F.pandas_udf("host string, path string")
     def address(urls: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_parse(u) for u in urls], columns=["host", "path"])
 
-    @F.pandas_udf("lines array<string>, article boolean")
+    @F.pandas_udf("texts array<string>, kinds array<tinyint>")
     def lines(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([lines_of(t) for t in texts], columns=["lines", "article"])
+        return pd.DataFrame([lines_of(t) for t in texts], columns=["texts", "kinds"])
 
-    found = keyed.select(*kept, "_key", lines(html).alias("_found"))
-    light = keyed.select("_key", address(url).alias("a"), lines(html).alias("f")).select(
-        "_key", "a.*", F.transform("f.lines", lambda line: F.xxhash64(line)).alias("lines"), "f.article"
+    rest = [c for c in pages.columns if c != html]
+    parsed = pages.select(*rest, address(url).alias("a"), lines(html).alias("f")).select(
+        *rest, "a.*", F.transform("f.texts", lambda line: F.xxhash64(line)).alias("lines"), "f.kinds",
+        # of furniture the hash is enough
+        F.transform("f.texts", lambda t, i: F.when(F.get("f.kinds", i) != FURNITURE, t)).alias("texts"),
     )
-    light = staged(light.filter("NOT article").drop("article").distinct(), "page-lines")
-    ranked = with_rank(light, [F.col("host"), F.col("path"), F.col("_key")], "page-order")
+    return staged(parsed.withColumn("page", F.monotonically_increasing_id()), "page-lines")
+
+
+def template_lines(parsed: DataFrame) -> DataFrame:
+    """``page`` and ``cut``, the places of its lines that the page with the nearest URL has too, for pages with such lines."""
+    light = parsed.select("page", "host", "path", "lines", "kinds")
+    # a page that is all article has nothing of the template, to lose or to show
+    light = light.filter(F.exists("kinds", lambda kind: kind != ARTICLE))
+    ranked = with_rank(light, [F.col("host"), F.col("path"), F.col("page")], "page-order")
     block, place = F.floor(F.col("rank") / BLOCK), F.col("rank") % BLOCK
     # the first and last page of a block are also neighbours in the one beside it
     blocks = F.array_compact(
@@ -215,17 +264,24 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             F.when(place == BLOCK - 1, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
         )
     )
-    cuts = (
-        ranked.select("*", F.inline(blocks))
-        .groupBy("block")
-        .applyInPandas(_cuts, "_key bigint, cut array<int>")
-    )
-    cuts = staged(cuts, "page-cuts")
-    left = F.when(
-        F.col("cut").isNotNull(),
-        F.filter("_found.lines", lambda line, i: ~F.array_contains("cut", i)),
-    ).otherwise(F.col("_found.lines"))
-    text = F.array_join(left, " ")
-    return found.join(cuts, "_key", "left").select(
-        *kept, text.alias("text"), F.length(text).cast("bigint").alias("n_chars")
-    )
+    cuts = ranked.select("*", F.inline(blocks)).groupBy("block").applyInPandas(_cuts, "page bigint, cut array<int>")
+    return staged(cuts, "page-cuts")
+
+
+def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """All columns but the html, with ``text`` and ``n_chars`` (its code points).
+
+    Null and empty pages have an empty text; pages without a url form a host of
+    their own. Pages of a host that have the same lines and no article element are
+    never compared with each other; of equal paths the order of the rows decides.
+    Columns named ``text`` or ``n_chars``, in any case, give way; all others keep
+    their names and values.
+    """
+    named, (url, html) = positional(pages, url, html)
+    kept = {p: c for p, c in zip(named.columns, pages.columns) if p != html and c.lower() not in ("text", "n_chars")}
+    parsed = line_table(named.select(*dict.fromkeys([*kept, url, html])), url, html)
+    cuts = template_lines(parsed)
+    stays = lambda line, i: F.col("cut").isNull() | ~F.array_contains("cut", i)
+    text = F.array_join(F.filter("texts", lambda line, i: line.isNotNull() & stays(line, i)), " ")
+    joined = parsed.select(*kept, "page", "texts").join(cuts, "page", "left").select(*kept, text.alias("text"))
+    return joined.withColumn("n_chars", F.length("text").cast("bigint")).toDF(*kept.values(), "text", "n_chars")
