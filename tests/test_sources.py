@@ -94,6 +94,15 @@ def test_sqlite_filters_reach_the_files(spark, folder):
     }
 
 
+def test_files_of_other_runs_are_not_opened(spark, folder):
+    (folder / "m_2_1.sqlite").write_bytes(b"not a database")
+    df = read_sqlite_table(spark, str(folder), "runtime")
+    assert df.filter("run_id = 'm_2_8'").count() == len(RUNS["m_2_8"]["runtime"])
+    assert df.filter(F.col("run_id").isin("m_2_8", "x")).select("run_id").distinct().count() == 1
+    assert df.filter("run_id = 'm_2_8' AND run_id = 'x'").count() == 0
+    assert df.filter(F.col("run_id").isin([f"x{i}" for i in range(30)])).count() == 0
+
+
 def test_a_missing_table_is_an_error(spark, tmp_path):
     sqlite3.connect(tmp_path / "a.sqlite").close()
     with pytest.raises(Exception, match="no such table"):

@@ -2,7 +2,10 @@
 
 from tracewise.plans.analysis import TraceAnalysis
 from tracewise.plans.report_job import run_report
+from tracewise.plans.run_store import add_runs, current_version, store_table
 from tracewise.schemas import TraceTables
 from tracewise.session import get_session
 
-__all__ = ["TraceAnalysis", "TraceTables", "get_session", "run_report"]
+__all__ = [
+    "TraceAnalysis", "TraceTables", "add_runs", "current_version", "get_session", "run_report", "store_table",
+]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,37 @@ def require_power_quality(cells: DataFrame) -> None:
         raise ValueError(f"unreadable power samples: {[r.asDict() for r in bad]}")
 
 
+def write_stats(
+    analysis: TraceAnalysis,
+    place: Callable[[str], str],
+    strict: bool,
+    power_cells: DataFrame | None = None,
+    csv: bool = False,
+) -> dict[str, DataFrame]:
+    """Check the analysed runs and save their statistics where ``place`` says; the saved ones by level."""
+    checks = write_table(analysis.quality_checks(), place("quality_checks"))
+    decoded = write_table(analysis.decode_quality(), place("decode_quality"))
+    if strict:
+        require_quality(checks, decoded)
+        if power_cells is not None:
+            require_power_quality(power_cells)
+    return {
+        "worker": write_table(analysis.worker_stats, place("worker_stats"), csv=csv),
+        "system": write_table(analysis.system_stats, place("system_stats"), csv=csv),
+    }
+
+
+def write_reports(
+    stats: dict[str, DataFrame], steps: DataFrame, output: str, staging: Staging, per_run: bool
+) -> None:
+    """All reports of the last step, and the runs that they leave out, under ``output``."""
+    left_out = left_out_runs(steps)
+    (left_out.limit(0) if per_run else left_out).write.parquet(f"{output}/left_out_runs")
+    last = {level: staging.table(f"last_{level}", last_step(df, steps, per_run)) for level, df in stats.items()}
+    for name, report in REPORTS.items():
+        write_report(name, report_table(name, last[report.level]), output)
+
+
 def run_report(
     spark: SparkSession,
     input: str,
@@ -67,30 +99,15 @@ def run_report(
     staging = Staging(spark)
     new = f"{output.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
     try:
+        power_cells = None
         if with_files:
             # Each table is used several times; the files are read once.
             power_cells = write_table(power_quality(spark, input), f"{new}/power_quality")
             write_layout(tables, f"{staging.root}/trace")
             tables = read_layout(spark, f"{staging.root}/trace")
         analysis = TraceAnalysis(tables, staging)
-        checks = write_table(analysis.quality_checks(), f"{new}/quality_checks")
-        decoded = write_table(analysis.decode_quality(), f"{new}/decode_quality")
-        if strict:
-            require_quality(checks, decoded)
-            if with_files:
-                require_power_quality(power_cells)
-        stats = {
-            "worker": write_table(analysis.worker_stats, f"{new}/worker_stats", csv=True),
-            "system": write_table(analysis.system_stats, f"{new}/system_stats", csv=True),
-        }
-        left_out = left_out_runs(analysis.inference)
-        (left_out.limit(0) if per_run else left_out).write.parquet(f"{new}/left_out_runs")
-        last = {
-            level: staging.table(f"last_{level}", last_step(df, analysis.inference, per_run))
-            for level, df in stats.items()
-        }
-        for name, report in REPORTS.items():
-            write_report(name, report_table(name, last[report.level]), new)
+        stats = write_stats(analysis, lambda name: f"{new}/{name}", strict, power_cells, csv=True)
+        write_reports(stats, analysis.inference, new, staging, per_run)
         replace_output(spark, new, output)
     finally:
         delete_path(spark, new)

@@ -56,6 +56,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder."""
+    jpath, fs = _file_system(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(jpath)]
+
+
+def create_file(spark: SparkSession, path: str, line: str) -> None:
+    """A new file with one line of text; an error if there is one."""
+    jpath, fs = _file_system(spark, path)
+    out = fs.create(jpath, False)
+    try:
+        out.write(f"{line}\n".encode())
+    finally:
+        out.close()
+
+
 def full_path(spark: SparkSession, path: str) -> str:
     """The path with its file system, without a slash at the end."""
     jpath, fs = _file_system(spark, path)

@@ -19,6 +19,7 @@ from pyspark.sql.datasource import (
     Filter,
     GreaterThan,
     GreaterThanOrEqual,
+    In,
     InputPartition,
     IsNotNull,
     LessThan,
@@ -72,12 +73,16 @@ class SqliteTraceReader(DataSourceReader):
         self.table = SQLITE_TABLES[options["table"]]
         self.rows_per_partition = int(options.get("rowsPerPartition", 0))
         self.conditions: list[tuple[str, list]] = []
+        self.runs: set[str] | None = None  # null: all
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         names = {f.name for f in self.schema.fields} - {"run_id"}
         for f in filters:
             column = getattr(f, "attribute", ())
-            if len(column) != 1 or column[0] not in names:
+            if column == ("run_id",) and isinstance(f, (EqualTo, In)):  # files of other runs are not opened
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.runs = wanted if self.runs is None else self.runs & wanted
+            elif len(column) != 1 or column[0] not in names:
                 yield f
             elif isinstance(f, IsNotNull):
                 self.conditions.append((f'"{column[0]}" IS NOT NULL', []))
@@ -87,18 +92,20 @@ class SqliteTraceReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        slices = []
+        slices, seen = [], False
         for folder, _, files in sorted(os.walk(self.root)):
             for file in sorted(files):
                 if not file.endswith(".sqlite"):
                     continue
-                path = os.path.join(folder, file)
+                path, seen = os.path.join(folder, file), True
+                if self.runs is not None and file.removesuffix(".sqlite") not in self.runs:
+                    continue
                 if self.rows_per_partition:
                     count = self._row_ranges(path)
                 else:
                     count = max(1, -(-os.path.getsize(path) // BYTES_PER_PARTITION))
                 slices += [FileSlice(path, i, count) for i in range(count)]
-        if not slices:
+        if not seen:
             raise ValueError(f"no .sqlite files under {self.root}")
         return slices
 
@@ -111,6 +118,8 @@ class SqliteTraceReader(DataSourceReader):
 
         import pyarrow as pa
 
+        if partition is None:  # no file is left
+            return
         low, high = _row_bounds(partition.path, self.table)
         size = -(-(high - low + 1) // partition.count)
         first = low + partition.index * size
