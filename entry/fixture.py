@@ -6,6 +6,7 @@ are in FIXTURES.md; ``oracle.py`` has the same ones for DuckDB.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,16 @@ _SLOTS = {
 }
 
 
+# One order becomes some 30 rows of trace.
+_ORDERS_PER_TASK = 50_000
+
+
 def _workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    # A small table is a single split, and the rows of a task must not grow with a large one.
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(orders.count() / _ORDERS_PER_TASK))
     return (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        # One order becomes some 40 rows, and a small table is a single split.
-        .select("o_orderkey")
-        .repartition(spark.sparkContext.defaultParallelism)
+        orders.repartition(tasks)
         .selectExpr(
             "o_orderkey AS k",
             "o_orderkey % 4 AS rk",
@@ -94,27 +99,32 @@ def trace_tables(spark: SparkSession, sf_dir: str) -> TraceTables:
     # With decoys inside the first slot and the sixth.
     spans = spans_of_steps.selectExpr(
         "run_id", "globalTid",
-        """explode(array_compact(array(
-             named_struct('type', 59, 's', s, 'e', e, 'text', text),
-             if(slot = 0, named_struct('type', 34, 's', s + 5, 'e', s + 6,
-                                       'text', '{"event": "input"}'), NULL),
-             if(slot = 0, named_struct('type', 59, 's', s + 5, 'e', s + 6,
-                                       'text', cast(NULL AS string)), NULL),
-             if(slot = 5, named_struct('type', 59, 's', s + 7, 'e', s + 8, 'text', ''), NULL)
-           ))) AS span""",
+        """explode(CASE slot
+             WHEN 0 THEN array(
+               named_struct('type', 59, 's', s, 'e', e, 'text', text),
+               named_struct('type', 34, 's', s + 5, 'e', s + 6, 'text', '{"event": "input"}'),
+               named_struct('type', 59, 's', s + 5, 'e', s + 6, 'text', cast(NULL AS string)))
+             WHEN 5 THEN array(
+               named_struct('type', 59, 's', s, 'e', e, 'text', text),
+               named_struct('type', 59, 's', s + 7, 'e', s + 8, 'text', ''))
+             ELSE array(named_struct('type', 59, 's', s, 'e', e, 'text', text))
+           END) AS span""",
     )
     spans = _as("spans", spans, "run_id", "globalTid", "span.type AS eventType", "span.s AS start",
                 "span.e AS end", "span.text")
 
     calls = inner.selectExpr(
         "*",
-        """explode(array_compact(array(
-             named_struct('s', s + 10000, 'e', s + 20000, 'c', k * 64 + slot * 4,
-                          'n', if(slot IN (0, 1, 8), 1, 2)),
-             if(slot = 7, named_struct('s', s + 40000, 'e', s + 50000, 'c', k * 64 + slot * 4 + 1,
-                                       'n', 2), NULL),
-             named_struct('s', s + 30000, 'e', s + 35000, 'c', k * 64 + slot * 4 + 2, 'n', 3)
-           ))) AS call""",
+        """explode(CASE slot
+             WHEN 7 THEN array(
+               named_struct('s', s + 10000, 'e', s + 20000, 'c', k * 64 + slot * 4, 'n', 2),
+               named_struct('s', s + 40000, 'e', s + 50000, 'c', k * 64 + slot * 4 + 1, 'n', 2),
+               named_struct('s', s + 30000, 'e', s + 35000, 'c', k * 64 + slot * 4 + 2, 'n', 3))
+             ELSE array(
+               named_struct('s', s + 10000, 'e', s + 20000, 'c', k * 64 + slot * 4,
+                            'n', if(slot IN (0, 1, 8), 1, 2)),
+               named_struct('s', s + 30000, 'e', s + 35000, 'c', k * 64 + slot * 4 + 2, 'n', 3))
+           END) AS call""",
     )
     runtime = _as("runtime", calls, "run_id", "globalTid", "call.s AS start", "call.e AS end",
                   "call.c AS correlationId", "call.n AS nameId")

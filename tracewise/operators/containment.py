@@ -54,13 +54,15 @@ def contained_in(
     keys: Sequence[str],
     carry: Sequence[str],
     bounded: bool = False,
+    large: bool = False,
 ) -> DataFrame:
     """Rows of ``inner`` with the ``carry`` columns of each outer row around them.
 
     Both sides have ``start`` and ``end``. Nested and overlapping outer rows all
     match. Intervals with a NULL end or ``end < start`` neither contain nor are
     contained. With ``bounded``, partitions of ``outer`` are known to fit in memory
-    and are hashed instead of sorted.
+    and are hashed instead of sorted. With ``large``, both sides are sorted, whatever
+    size Spark guesses: it does not know how many rows a plan makes of one.
     """
     proper = outer.filter(F.col("end") > F.col("start")).select(
         *keys,
@@ -92,6 +94,8 @@ def contained_in(
     )
     if bounded:
         filed = filed.hint("shuffle_hash")
+    elif large:
+        filed = filed.hint("merge")
     # An inner row has one bucket per width, so a pair meets only once.
     return (
         probes.join(filed, [*keys, "_width", "_bucket"])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tracewise.functions.scalars import duration, per_second, thread_id
 from tracewise.functions.sql import register_functions
 from tracewise.operators.lookup import last_step
 from tracewise.plans import calls, quality, reports, spans, stats, system, worker
-from tracewise.schemas import TraceTables
+from tracewise.schemas import EVENT_CALLS, STEP_KEYS, TraceTables
 from tracewise.session import Staging
 
 _VIEWS = [
@@ -36,11 +39,26 @@ class TraceAnalysis:
     With ``staging``, the results of the three large joins and the worker table
     are written once and read by everything after them. Without, each result is
     one lazy plan.
+
+    That pays where many results are wanted. With ``share=False`` each result is
+    made for itself: a view of one event reads, joins and writes the rows of that
+    event only, a report those of the last step, and only what a plan reads more
+    than once is written. ``events`` leaves out the spans and device work of others.
     """
 
-    def __init__(self, tables: TraceTables, staging: Staging | None = None):
+    def __init__(
+        self,
+        tables: TraceTables,
+        staging: Staging | None = None,
+        share: bool = True,
+        events: Sequence[str] = tuple(EVENT_CALLS),
+    ):
         self.tables = tables
         self.staging = staging
+        self.share = share or not staging
+        self.events = tuple(events)
+        # Sizes of plans are guessed; these joins have all steps on one side.
+        self.large = not self.share
 
     def _shared(self, name: str, df: DataFrame) -> DataFrame:
         if not self.staging:
@@ -54,6 +72,15 @@ class TraceAnalysis:
         """Whether the rows of a process are in one bucket, of a size that the layout has checked."""
         return bool(self.tables.buckets)
 
+    def _narrowed(
+        self, events: Sequence[str] | None = None, inference: DataFrame | None = None, share: bool = False
+    ) -> TraceAnalysis:
+        """The same analysis of some events, or of the given steps."""
+        found = TraceAnalysis(self.tables, self.staging, share, events or self.events)
+        found.inference = self.inference if inference is None else inference
+        found.large = inference is None
+        return found
+
     # Shared results.
 
     @cached_property
@@ -62,20 +89,33 @@ class TraceAnalysis:
 
     @cached_property
     def step_spans(self) -> DataFrame:
-        return self._shared("step_spans", spans.step_spans(self.tables.spans, self.inference, self._bounded))
+        if self.share and len(self.events) == len(EVENT_CALLS):
+            return self._shared("step_spans", spans.step_spans(self.tables.spans, self.inference, self._bounded))
+        found = spans.step_spans(self.tables.spans, self.inference, self._bounded, self.events, self.large)
+        # what follows from other columns is not written
+        saved = self._shared("step_spans", found.drop("tid", "duration"))
+        return saved.withColumns({"tid": thread_id("globalTid"), "duration": duration()})
 
     @cached_property
     def step_calls(self) -> DataFrame:
         t = self.tables
-        return self._shared(
-            "step_calls", calls.step_runtime(self.step_spans, t.runtime, t.string_ids, self._bounded)
-        )
+        found = calls.step_runtime(self.step_spans, t.runtime, t.string_ids, self._bounded, self.events, self.large)
+        return self._shared("step_calls", found) if self.share else found
 
     @cached_property
     def step_device(self) -> DataFrame:
         t = self.tables
-        return self._shared(
-            "step_device", calls.step_device(self.step_calls, t.kernels, t.copies, self._bounded)
+        found = calls.step_device(self.step_calls, t.kernels, t.copies, self._bounded, self.events, self.large)
+        return self._shared("step_device", found) if self.share else found
+
+    @cached_property
+    def timed_device(self) -> DataFrame:
+        """Device work with what statistics need of it, to be read more than once."""
+        if self.share:
+            return self.step_device
+        work = self.step_device.select(*STEP_KEYS, "globalTid", *calls.EVENT, "start", "end", "bytes")
+        return self._shared("timed_device", work).withColumns(
+            {"duration": duration(), "throughput": per_second(F.col("bytes"), duration())}
         )
 
     @cached_property
@@ -84,11 +124,11 @@ class TraceAnalysis:
 
     @cached_property
     def device_stats(self) -> DataFrame:
-        return stats.device_stats(self.step_device)
+        return stats.device_stats(self.timed_device)
 
     @cached_property
     def layer_stats(self) -> DataFrame:
-        return stats.layer_stats(self.step_spans, self.step_device)
+        return stats.layer_stats(self.step_spans, self.timed_device, self.events)
 
     @cached_property
     def worker_stats(self) -> DataFrame:
@@ -112,25 +152,39 @@ class TraceAnalysis:
         if name == "step_inference_stats":
             return stats.step_inference_stats(self.inference)
         if name == "step_range":
-            return spans.step_range(self.tables.spans, self.inference, self._bounded)
+            return spans.step_range(self.tables.spans, self.inference, self._bounded, self.large)
         if name.endswith("_range"):
             return getattr(spans, name)(self.view("step_range"))
+        event = name.split("_")[1]
+        if not self.share and self.events != (event,):
+            return self._of_event(event).view(name)
         if name.endswith("_runtime"):
-            return calls.runtime_of(self.step_calls, name.split("_")[1])
+            return calls.runtime_of(self.step_calls, event)
         if name == "step_communication_transfer_kernel_start":
             return calls.transfer_start(self.view("step_communication_kernel"))
         if name in ("step_communication_wait_kernel", "step_communication_transfer_kernel"):
             return getattr(calls, name)(self.view("step_communication_kernel"))
+        if name == "step_communication_kernel":
+            return calls.step_communication_kernel(self.timed_device)
         if name.endswith("_kernel"):
             return getattr(calls, name)(self.step_device)
         if name.endswith("_host_stats"):
             return getattr(stats, name)(self.host_stats)
         if name.startswith("step_communication") and name.endswith("_device_stats"):
-            return getattr(stats, name)(stats.communication_device_stats(self.step_device))
+            return getattr(stats, name)(stats.communication_device_stats(self.timed_device))
         if name.endswith("_device_stats"):
             return getattr(stats, name)(self.device_stats)
         return getattr(stats, name)(self.layer_stats)
 
+    def _of_event(self, event: str) -> TraceAnalysis:
+        if event not in self._of_events:
+            self._of_events[event] = self._narrowed([event])
+        return self._of_events[event]
+
+    @cached_property
+    def _of_events(self) -> dict[str, TraceAnalysis]:
+        return {}
+
     @staticmethod
     def view_names() -> list[str]:
         return list(_VIEWS)
@@ -145,16 +199,26 @@ class TraceAnalysis:
         self.system_stats.createOrReplaceTempView("system_stats")
 
     def quality_checks(self) -> DataFrame:
-        return quality.quality_checks(
-            self.tables.spans, self.step_spans, self.step_calls, self.step_device
-        )
+        a = self if self.share else self._narrowed(quality.EVENTS, share=True)
+        return quality.quality_checks(self.tables.spans, a.step_spans, a.step_calls, a.step_device)
 
     def decode_quality(self) -> DataFrame:
         t = self.tables
         return quality.decode_quality(t.spans, t.runtime, t.string_ids)
 
+    @cached_property
+    def _last(self) -> dict[bool, TraceAnalysis]:
+        return {}
+
     def last_step(self, level: str, per_run: bool = False) -> DataFrame:
         """System or worker statistics of the last step."""
+        if not self.share:
+            # nothing of other steps counts there; what is found in one step is small, so all is written
+            if per_run not in self._last:
+                steps = self._shared("last_step", last_step(self.inference, per_run=per_run))
+                self._last[per_run] = self._narrowed(inference=steps, share=True)
+            a = self._last[per_run]
+            return a.system_stats if level == "system" else a.worker_stats
         # Every step has an inference row, so the maximum is read from there.
         rows = self.system_stats if level == "system" else self.worker_stats
         return last_step(rows, self.inference, per_run)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -32,19 +33,31 @@ def call_names(string_ids: DataFrame) -> DataFrame:
     )
 
 
+def _kinds(events: Sequence[str]) -> list[str]:
+    return sorted({EVENT_CALLS[event] for event in events})
+
+
 def step_runtime(
-    steps: DataFrame, runtime: DataFrame, string_ids: DataFrame, bounded: bool = False
+    steps: DataFrame,
+    runtime: DataFrame,
+    string_ids: DataFrame,
+    bounded: bool = False,
+    events: Sequence[str] = tuple(EVENT_CALLS),
+    large: bool = False,
 ) -> DataFrame:
     """Host calls inside input, compute, communication and output spans.
 
     The calls of all four in one join: copies for input and output, kernel
     launches for compute and communication. The kind is part of the join key.
+    With fewer ``events``, calls of a kind that none of them has are not joined.
     """
-    calls = runtime.join(call_names(string_ids), ["run_id", "nameId"]).select(
+    names = call_names(string_ids).filter(F.col("call_kind").isin(*_kinds(events)))
+    calls = runtime.join(names, ["run_id", "nameId"]).select(
         "run_id", process_of(runtime).alias("pid"), "globalTid", "call_kind", "start", "end",
         "correlationId", "function_name",
     )
-    owners = steps.withColumn("call_kind", _literal_map(EVENT_CALLS)[F.col("event_name")]).filter(
+    wanted = {event: EVENT_CALLS[event] for event in events}
+    owners = steps.withColumn("call_kind", _literal_map(wanted)[F.col("event_name")]).filter(
         F.col("call_kind").isNotNull()
     )
     return contained_in(
@@ -53,6 +66,7 @@ def step_runtime(
         ["run_id", "pid", "globalTid", "call_kind"],
         [*STEP_COLUMNS, "tid", *EVENT],
         bounded,
+        large,
     ).select(
         *STEP, *POSITION, *EVENT, "start", "end", "correlationId", "function_name", "call_kind"
     )
@@ -66,12 +80,18 @@ def runtime_of(calls: DataFrame, event: str) -> DataFrame:
 
 
 def step_device(
-    calls: DataFrame, kernels: DataFrame, copies: DataFrame, bounded: bool = False
+    calls: DataFrame,
+    kernels: DataFrame,
+    copies: DataFrame,
+    bounded: bool = False,
+    events: Sequence[str] = tuple(EVENT_CALLS),
+    large: bool = False,
 ) -> DataFrame:
     """Device kernels and copies started by the calls, with the call's step and event.
 
     With ``bounded``, partitions of the calls are known to fit in memory, and both
-    kinds are joined where they are.
+    kinds are joined where they are. With fewer ``events``, only the kinds that their
+    calls start are joined.
     """
 
     def activity(df, kind, size):
@@ -85,15 +105,19 @@ def step_device(
             size.alias("bytes"),
         )
 
-    launches = activity(kernels, "launch", F.lit(None).cast("bigint"))
-    moves = activity(copies, "copy", F.col("bytes"))
+    by_kind = {
+        "launch": lambda: activity(kernels, "launch", F.lit(None).cast("bigint")),
+        "copy": lambda: activity(copies, "copy", F.col("bytes")),
+    }
+    works = [by_kind[kind]() for kind in _kinds(events)]
     started = calls.select(*STEP, *POSITION, *EVENT, "correlationId", "function_name", "call_kind")
     keys = ["run_id", "pid", "call_kind", "correlationId"]
     if bounded:  # a union would give up the place of its rows
         hashed = started.hint("shuffle_hash")
-        joined = launches.join(hashed, keys).unionByName(moves.join(hashed, keys))
+        joined = reduce(DataFrame.unionByName, [work.join(hashed, keys) for work in works])
     else:
-        joined = started.join(launches.unionByName(moves), keys)
+        work = reduce(DataFrame.unionByName, works)
+        joined = started.join(work.hint("merge") if large else work, keys)
     return joined.select(
         *STEP, *POSITION, *EVENT, "function_name", "correlationId", "start", "end", "bytes",
         duration().alias("duration"),

@@ -9,6 +9,7 @@ from tracewise.functions.payload import decode_payload, tensor_bytes, tensors_by
 from tracewise.plans.calls import split_wait
 from tracewise.schemas import EVENT_TYPES, PUSH_POP_RANGE
 
+EVENTS = ["input", "output", "communication"]
 # (event, stage) pairs whose row count must equal the event's span count.
 _CHECKS = [
     ("input", "runtime"),
@@ -29,11 +30,9 @@ def quality_checks(
 
     Every run with a span has all checks, whatever was found in it.
     """
-    events = ["input", "output", "communication"]
-
     def counts(df: DataFrame, stage: str) -> DataFrame:
         return (
-            df.filter(F.col("event_name").isin(events))
+            df.filter(F.col("event_name").isin(EVENTS))
             .groupBy("run_id", "event_name")
             .agg(F.count(F.lit(1)).alias("rows"))
             .withColumn("stage", F.lit(stage))

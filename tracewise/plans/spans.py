@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.payload import decode_payload, tensor_bytes, tensors_bytes
@@ -44,12 +48,15 @@ def decode_spans(spans: DataFrame) -> DataFrame:
     )
 
 
+def _mentions(text: Column, *events: str) -> Column:
+    """Whether a text can mean one of the events: without the word it takes a JSON escape."""
+    return reduce(or_, [text.contains(event) for event in events]) | text.contains("\\")
+
+
 def step_inference_range(spans: DataFrame) -> DataFrame:
     """One row per inference step and worker."""
-    # A text without the word can only mean it through a JSON escape, so most
-    # spans are dropped before their JSON is parsed.
-    text = F.col("text")
-    candidates = _push_pop(spans).filter(text.contains("inference") | text.contains("\\"))
+    # Most spans are dropped before their JSON is parsed.
+    candidates = _push_pop(spans).filter(_mentions(F.col("text"), "inference"))
     return (
         decode_spans(candidates)
         .filter(F.col("event_name") == "inference")
@@ -60,16 +67,20 @@ def step_inference_range(spans: DataFrame) -> DataFrame:
     )
 
 
-def _in_step(spans: DataFrame, inference: DataFrame, *extra: str, bounded: bool = False) -> DataFrame:
+def _in_step(
+    spans: DataFrame, inference: DataFrame, *extra: str, bounded: bool = False, large: bool = False
+) -> DataFrame:
     decoded = decode_spans(_push_pop(spans).filter(F.col("text") != ""))
     inner = decoded.select("run_id", *POSITION, "event_name", "event_value", "start", "end",
                            "duration", *extra)
-    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded)
+    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded, large)
 
 
-def step_range(spans: DataFrame, inference: DataFrame, bounded: bool = False) -> DataFrame:
+def step_range(
+    spans: DataFrame, inference: DataFrame, bounded: bool = False, large: bool = False
+) -> DataFrame:
     """Every span inside an inference step, at any depth, with its text."""
-    return _in_step(spans, inference, "event", bounded=bounded).select(
+    return _in_step(spans, inference, "event", bounded=bounded, large=large).select(
         "run_id", *STEP_COLUMNS, *POSITION, "event_name", "event_value", "event",
         "start", "end", "duration",
     )
@@ -77,7 +88,8 @@ def step_range(spans: DataFrame, inference: DataFrame, bounded: bool = False) ->
 
 def _range_of(steps: DataFrame, event: str, *fields: str) -> DataFrame:
     value = ["event_value"] if event in ("compute", "communication") else []
-    return steps.filter(F.col("event_name") == event).select(
+    wanted = _mentions(F.col("event"), event) & (F.col("event_name") == event)
+    return steps.filter(wanted).select(
         "run_id", *STEP_COLUMNS, *POSITION, "start", "end", "duration", "event_name", *value,
         *[F.get_json_object("event", f"$.{f}").alias(f) for f in fields],
     )
@@ -99,13 +111,26 @@ def step_communication_range(steps: DataFrame) -> DataFrame:
     return _range_of(steps, "communication", "send_tensors", "recv_tensors")
 
 
-def step_spans(spans: DataFrame, inference: DataFrame, bounded: bool = False) -> DataFrame:
+def step_spans(
+    spans: DataFrame,
+    inference: DataFrame,
+    bounded: bool = False,
+    events: Sequence[str] | None = None,
+    large: bool = False,
+) -> DataFrame:
     """``step_range`` with the bytes its text describes instead of the text.
 
     ``bytes`` is the tensor of an input or output and the weights of a compute
     span. Sizes are computed before the join, so the text is never shuffled.
+    With ``events``, other spans are left out before their JSON is parsed.
     """
-    decoded = decode_spans(_push_pop(spans).filter(F.col("text") != ""))
+    texts = _push_pop(spans).filter(F.col("text") != "")
+    if events is None:
+        decoded = decode_spans(texts)
+    else:
+        decoded = decode_spans(texts.filter(_mentions(F.col("text"), *events))).filter(
+            F.col("event_name").isin(*events)
+        )
     event = F.col("event_name")
     inner = decoded.select(
         "run_id", *POSITION, "event_name", "event_value", "start", "end", "duration",
@@ -115,7 +140,7 @@ def step_spans(spans: DataFrame, inference: DataFrame, bounded: bool = False) ->
         F.when(event == "communication", tensors_bytes(F.col("send_tensors"))).alias("send_bytes"),
         F.when(event == "communication", tensors_bytes(F.col("recv_tensors"))).alias("recv_bytes"),
     )
-    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded).select(
+    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded, large).select(
         "run_id", *STEP_COLUMNS, *POSITION, "event_name", "event_value", "start", "end",
         "duration", "bytes", "send_bytes", "recv_bytes",
     )

@@ -6,6 +6,9 @@ a grouping column, which Spark pushes below the aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,31 +124,46 @@ def step_communication_transfer_device_stats(communication: DataFrame) -> DataFr
     return _of(communication, "communication", F.col("transfer").alias("duration"))
 
 
-def layer_stats(steps: DataFrame, device: DataFrame) -> DataFrame:
+def layer_stats(
+    steps: DataFrame, device: DataFrame, events: Sequence[str] = tuple(EVENT_CALLS)
+) -> DataFrame:
     """Host and device side of every event that has both, in one aggregation.
 
     Spans and device work are combined by their keys instead of being aggregated
-    apart and joined, so both are reduced before the same single shuffle.
+    apart and joined. Few rows of a layer come from the same task of the joins before,
+    so they are not reduced before the shuffle; it places the rows of a worker's step
+    together, where the worker table needs them too.
     """
-    spans = steps.filter(F.col("event_name").isin(_EVENTS)).select(
+    spans = steps.filter(F.col("event_name").isin(*events)).select(
         *STEP_KEYS, "event_name", "event_value", "globalTid", "start", "end", "duration", "bytes",
         "send_bytes", "recv_bytes", F.lit(1).alias("spans"),
     )
-    work = device.filter(F.col("event_name").isin("input", "compute", "output")).select(
-        *STEP_KEYS, "event_name", "event_value", "throughput",
-        F.col("duration").alias("device_duration"),
-        F.col("bytes").alias("device_bytes"),
-        F.lit(1).alias("works"),
-    )
-    kernels = split_wait(device.filter(F.col("event_name") == "communication")).select(
-        *STEP_KEYS, "event_name", "event_value", "wait", "transfer", F.lit(1).alias("works")
-    )
-    both = spans.unionByName(work, allowMissingColumns=True).unionByName(
-        kernels, allowMissingColumns=True
-    )
+    parts = [spans]
+    worked = [event for event in events if event != "communication"]
+    if worked:
+        parts.append(
+            device.filter(F.col("event_name").isin(*worked)).select(
+                *STEP_KEYS, "event_name", "event_value", "throughput",
+                F.col("duration").alias("device_duration"),
+                F.col("bytes").alias("device_bytes"),
+                F.lit(1).alias("works"),
+            )
+        )
+    if "communication" in events:
+        parts.append(
+            split_wait(device.filter(F.col("event_name") == "communication")).select(
+                *STEP_KEYS, "event_name", "event_value", "wait", "transfer", F.lit(1).alias("works")
+            )
+        )
+    both = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
+    for column, kind in {"throughput": "double", "wait": "bigint", "transfer": "bigint",
+                         "device_duration": "bigint", "device_bytes": "bigint"}.items():
+        if column not in both.columns:
+            both = both.withColumn(column, F.lit(None).cast(kind))
     return (
         _with_layer(both)
         .na.drop(subset=LAYER_KEYS)
+        .repartition(*STEP_KEYS)
         .groupBy(*LAYER_KEYS)
         .agg(
             F.count("spans").alias("spans"),
