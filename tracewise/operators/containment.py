@@ -18,6 +18,8 @@ The join is an equi-join, which adaptive execution splits where a key is hot.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ def _widths(exponents: Column) -> Column:
     )
 
 
-def _bucket(time: str) -> Column:
-    return F.expr(f"shiftright(`{time}`, _width)")
+def _bucket(time: str, width: str = "_width") -> Column:
+    return F.expr(f"shiftright(`{time}`, {width})")
 
 
 def contained_in(
@@ -65,7 +67,7 @@ def contained_in(
     size Spark guesses: it does not know how many rows a plan makes of one.
     """
     proper = outer.filter(F.col("end") > F.col("start")).select(
-        *keys,
+        *[F.col(k).alias(f"_outer_{k}") for k in keys],
         *carry,
         F.col("start").alias("_outer_start"),
         F.col("end").alias("_outer_end"),
@@ -90,15 +92,18 @@ def contained_in(
         inner.filter(F.col("end") >= F.col("start"))
         .withColumn("_width", F.explode(widths))
         .filter(F.col("_width") > _exponent(F.col("end") - F.col("start")))
-        .withColumn("_bucket", _bucket("start"))
+        .withColumnRenamed("_width", "_inner_width")
     )
     if bounded:
         filed = filed.hint("shuffle_hash")
     elif large:
         filed = filed.hint("merge")
-    # An inner row has one bucket per width, so a pair meets only once.
-    return (
-        probes.join(filed, [*keys, "_width", "_bucket"])
-        .filter((F.col("start") > F.col("_outer_start")) & (F.col("end") < F.col("_outer_end")))
-        .drop("_width", "_bucket", "_outer_start", "_outer_end")
+    # An inner row has one bucket per width, so a pair meets only once. Its bucket follows
+    # from its start and is not shuffled.
+    same = [F.col(k) == F.col(f"_outer_{k}") for k in keys]
+    same += [F.col("_inner_width") == F.col("_width"), _bucket("start", "_inner_width") == F.col("_bucket")]
+    found = probes.join(filed, reduce(and_, same)).filter(
+        (F.col("start") > F.col("_outer_start")) & (F.col("end") < F.col("_outer_end"))
     )
+    # The keys first, as a join by names has them.
+    return found.select(*keys, *[c for c in inner.columns if c not in keys], *carry)

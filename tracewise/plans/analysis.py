@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.scalars import duration, per_second, thread_id
+from tracewise.functions.scalars import duration, per_second, process_id, thread_id
 from tracewise.functions.sql import register_functions
 from tracewise.operators.lookup import last_step
 from tracewise.plans import calls, quality, reports, spans, stats, system, worker
@@ -59,6 +59,7 @@ class TraceAnalysis:
         self.events = tuple(events)
         # Sizes of plans are guessed; these joins have all steps on one side.
         self.large = not self.share
+        self.parent: TraceAnalysis | None = None
 
     def _shared(self, name: str, df: DataFrame) -> DataFrame:
         if not self.staging:
@@ -79,6 +80,7 @@ class TraceAnalysis:
         found = TraceAnalysis(self.tables, self.staging, share, events or self.events)
         found.inference = self.inference if inference is None else inference
         found.large = inference is None
+        found.parent = self
         return found
 
     # Shared results.
@@ -92,14 +94,25 @@ class TraceAnalysis:
         if self.share and len(self.events) == len(EVENT_CALLS):
             return self._shared("step_spans", spans.step_spans(self.tables.spans, self.inference, self._bounded))
         found = spans.step_spans(self.tables.spans, self.inference, self._bounded, self.events, self.large)
-        # what follows from other columns is not written
-        saved = self._shared("step_spans", found.drop("tid", "duration"))
-        return saved.withColumns({"tid": thread_id("globalTid"), "duration": duration()})
+        # what follows from other columns is not written; rows in buckets keep what places them
+        derived = {"tid": thread_id("globalTid"), "duration": duration()}
+        if not self._bounded:
+            derived["pid"] = process_id("globalTid")
+        return self._shared("step_spans", found.drop(*derived)).withColumns(derived)
+
+    @cached_property
+    def call_names(self) -> DataFrame:
+        """Written, as Spark would else guess their size, and may take the calls for the smaller side."""
+        if self.parent:
+            return self.parent.call_names
+        return self._shared("call_names", calls.call_names(self.tables.string_ids))
 
     @cached_property
     def step_calls(self) -> DataFrame:
         t = self.tables
-        found = calls.step_runtime(self.step_spans, t.runtime, t.string_ids, self._bounded, self.events, self.large)
+        found = calls.step_runtime(
+            self.step_spans, t.runtime, t.string_ids, self._bounded, self.events, self.large, self.call_names
+        )
         return self._shared("step_calls", found) if self.share else found
 
     @cached_property
@@ -114,7 +127,9 @@ class TraceAnalysis:
         if self.share:
             return self.step_device
         work = self.step_device.select(*STEP_KEYS, "globalTid", *calls.EVENT, "start", "end", "bytes")
-        return self._shared("timed_device", work).withColumns(
+        if "communication" in self.events:  # else nothing reads it twice
+            work = self._shared("timed_device", work)
+        return work.withColumns(
             {"duration": duration(), "throughput": per_second(F.col("bytes"), duration())}
         )
 
@@ -132,10 +147,9 @@ class TraceAnalysis:
 
     @cached_property
     def worker_stats(self) -> DataFrame:
-        return self._shared(
-            "worker_stats",
-            worker.worker_stats(stats.step_inference_stats(self.inference), self.layer_stats),
-        )
+        found = worker.worker_stats(stats.step_inference_stats(self.inference), self.layer_stats)
+        # a single result reads them once
+        return self._shared("worker_stats", found) if self.share else found
 
     @cached_property
     def system_stats(self) -> DataFrame:

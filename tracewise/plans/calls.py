@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.scalars import _literal_map, duration, per_second, process_of
+from tracewise.functions.scalars import _literal_map, duration, per_second, process_of, thread_id
 from tracewise.operators.containment import contained_in
 from tracewise.plans.spans import POSITION, STEP_COLUMNS
 from tracewise.schemas import CALL_PATTERNS, EVENT_CALLS
@@ -44,30 +44,31 @@ def step_runtime(
     bounded: bool = False,
     events: Sequence[str] = tuple(EVENT_CALLS),
     large: bool = False,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Host calls inside input, compute, communication and output spans.
 
     The calls of all four in one join: copies for input and output, kernel
     launches for compute and communication. The kind is part of the join key.
     With fewer ``events``, calls of a kind that none of them has are not joined.
+    ``names`` is ``call_names`` of the string ids if it is known already.
     """
-    names = call_names(string_ids).filter(F.col("call_kind").isin(*_kinds(events)))
+    names = call_names(string_ids) if names is None else names
+    names = names.filter(F.col("call_kind").isin(*_kinds(events)))
     calls = runtime.join(names, ["run_id", "nameId"]).select(
         "run_id", process_of(runtime).alias("pid"), "globalTid", "call_kind", "start", "end",
         "correlationId", "function_name",
     )
+    # a thread has one process, which is not shuffled unless rows are placed by it
+    keys = ["run_id", "pid", "globalTid", "call_kind"] if bounded else ["run_id", "globalTid", "call_kind"]
     wanted = {event: EVENT_CALLS[event] for event in events}
     owners = steps.withColumn("call_kind", _literal_map(wanted)[F.col("event_name")]).filter(
         F.col("call_kind").isNotNull()
     )
-    return contained_in(
-        calls,
-        owners,
-        ["run_id", "pid", "globalTid", "call_kind"],
-        [*STEP_COLUMNS, "tid", *EVENT],
-        bounded,
-        large,
-    ).select(
+    inside = contained_in(
+        calls if bounded else calls.drop("pid"), owners, keys, [*STEP_COLUMNS, *EVENT], bounded, large
+    )
+    return inside.withColumns({"pid": process_of(inside), "tid": thread_id("globalTid")}).select(
         *STEP, *POSITION, *EVENT, "start", "end", "correlationId", "function_name", "call_kind"
     )
 

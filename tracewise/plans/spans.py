@@ -14,18 +14,27 @@ from tracewise.functions.scalars import duration, process_of, thread_id
 from tracewise.operators.containment import contained_in
 from tracewise.schemas import PUSH_POP_RANGE
 
-SPAN_KEYS = ["run_id", "pid", "globalTid"]
 STEP_COLUMNS = ["step_id", "rank", "local_rank"]
 POSITION = ["globalTid", "pid", "tid"]
 
 
+def _span_keys(bounded: bool) -> list[str]:
+    """Keys of spans of one thread. Its process follows from it, but tables can be placed by that."""
+    return ["run_id", "pid", "globalTid"] if bounded else ["run_id", "globalTid"]
+
+
 def _push_pop(spans: DataFrame) -> DataFrame:
     return spans.filter(F.col("eventType") == PUSH_POP_RANGE)
 
 
 def decode_spans(spans: DataFrame) -> DataFrame:
-    """Every span with its ids unpacked and its text decoded."""
-    return spans.withColumn("payload", decode_payload(F.col("text"))).select(
+    """Every span with its ids unpacked and its text decoded.
+
+    The decoded text is the one row of a generator: a filter on it stays above, where
+    Spark would else decode the text for the filter and again for the result.
+    """
+    decoded = spans.select("*", F.explode(F.array(decode_payload(F.col("text")))).alias("payload"))
+    return decoded.select(
         "run_id",
         "globalTid",
         process_of(spans).alias("pid"),
@@ -67,13 +76,19 @@ def step_inference_range(spans: DataFrame) -> DataFrame:
     )
 
 
+def _with_position(inside: DataFrame) -> DataFrame:
+    """Rows with what follows from other columns, which is not shuffled; rows in buckets have ``pid``."""
+    derived = {"pid": process_of(inside), "tid": thread_id("globalTid"), "duration": duration()}
+    return inside.withColumns(derived)
+
+
 def _in_step(
     spans: DataFrame, inference: DataFrame, *extra: str, bounded: bool = False, large: bool = False
 ) -> DataFrame:
     decoded = decode_spans(_push_pop(spans).filter(F.col("text") != ""))
-    inner = decoded.select("run_id", *POSITION, "event_name", "event_value", "start", "end",
-                           "duration", *extra)
-    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded, large)
+    keys = _span_keys(bounded)
+    inner = decoded.select(*keys, "event_name", "event_value", "start", "end", *extra)
+    return _with_position(contained_in(inner, inference, keys, STEP_COLUMNS, bounded, large))
 
 
 def step_range(
@@ -132,15 +147,17 @@ def step_spans(
             F.col("event_name").isin(*events)
         )
     event = F.col("event_name")
+    keys = _span_keys(bounded)
     inner = decoded.select(
-        "run_id", *POSITION, "event_name", "event_value", "start", "end", "duration",
+        *keys, "event_name", "event_value", "start", "end",
         F.when(event.isin("input", "output"), tensor_bytes(F.col("tensor")))
         .when(event == "compute", tensors_bytes(F.col("weights")))
         .alias("bytes"),
         F.when(event == "communication", tensors_bytes(F.col("send_tensors"))).alias("send_bytes"),
         F.when(event == "communication", tensors_bytes(F.col("recv_tensors"))).alias("recv_bytes"),
     )
-    return contained_in(inner, inference, SPAN_KEYS, STEP_COLUMNS, bounded, large).select(
+    inside = contained_in(inner, inference, keys, STEP_COLUMNS, bounded, large)
+    return _with_position(inside).select(
         "run_id", *STEP_COLUMNS, *POSITION, "event_name", "event_value", "start", "end",
         "duration", "bytes", "send_bytes", "recv_bytes",
     )
