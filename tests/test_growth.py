@@ -1,11 +1,13 @@
 """What queries write and join does not depend on guesses, and grows with the tables."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from entry import fixture, queries
+from tracewise.plans import worker
 from tracewise.plans.analysis import TraceAnalysis
 
 
@@ -77,3 +79,51 @@ def test_results_of_all_events_and_of_the_last_step(spark, folder):
     steps = narrow._last[False].step_spans
     last = whole.inference.agg(F.max("step_id")).first()[0]
     assert {r["step_id"] for r in steps.select("step_id").collect()} == {last}
+
+
+def test_single_results_write_only_what_they_read_twice(spark, folder):
+    queries.analysis.cache_clear()
+    before = written(spark)
+    a = queries.analysis(spark, folder)
+    for result in (a.view("step_compute_stats"), a.worker_stats, a.system_stats):
+        assert result.count() > 0
+    new = {os.path.basename(os.path.dirname(f)).rsplit("-", 1)[0] for f in written(spark) - before}
+    assert new == {"inference", "step_spans", "call_names", "timed_device"}
+    assert not any("timed_device" in f for f in a._of_event("compute").timed_device.inputFiles())
+
+
+def test_the_text_of_a_span_is_decoded_once(spark, folder):
+    steps = queries.analysis(spark, folder).view("step_inference_range")
+    whole = TraceAnalysis(fixture.trace_tables(spark, folder)).view("step_inference_range")
+    assert rows(steps) == rows(whole) != []
+    assert plan_of(whole).count("from_json") == 1
+
+
+def test_the_size_of_the_call_names_is_known(spark, folder):
+    """Of tables that are plans Spark guesses the size, and it has broadcast the calls instead."""
+    names = queries.analysis(spark, folder).call_names
+    assert all("call_names" in f for f in names.inputFiles())
+    plan = plan_of(queries.analysis(spark, folder).view("step_input_runtime"))
+    built = plan[plan.index("BroadcastExchange"):].split("Exchange hashpartitioning")[0]
+    assert "FileScan parquet" in built and "function_name" in built and "correlationId" not in built
+
+
+def test_layers_of_workers_are_placed_once(spark, folder):
+    a = queries.analysis(spark, folder)
+    placed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(a.worker_stats))
+    assert placed and not any("globalTid" in keys and "rank" in keys for keys in placed)
+
+
+def test_layers_of_another_thread_are_not_a_workers(spark):
+    steps = spark.createDataFrame(
+        [("r", 0, 1, 0, 0, thread, 0, 9, 9) for thread in (1, 2, None)],
+        "run_id string, step_id int, batch_size int, rank int, local_rank int, globalTid long,"
+        " host_start long, host_end long, host_duration long",
+    )
+    layers = spark.createDataFrame(
+        [("r", 0, 0, 0, thread, size) for thread, size in ((1, 10), (3, 30), (None, 50))],
+        "run_id string, step_id int, rank int, local_rank int, globalTid long, size long",
+    )
+    found = worker._with_layers(steps, layers)
+    assert found.columns[:5] == ["run_id", "step_id", "rank", "local_rank", "globalTid"]
+    assert {(r["globalTid"], r["size"]) for r in found.collect()} == {(1, 10), (2, None), (None, None)}

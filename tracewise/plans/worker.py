@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +68,26 @@ def worker_layers(stats: DataFrame) -> DataFrame:
     return stats.groupBy(*STEP_KEYS, "globalTid").agg(*columns)
 
 
+def _with_layers(inference_stats: DataFrame, layers: DataFrame) -> DataFrame:
+    """Each inference row with the layers of its worker's step and thread.
+
+    Layers are already placed by worker and step. An equality of threads would be one more
+    key of the join, for which they would be placed again, so it is asked in two halves.
+    """
+    keys = [*STEP_KEYS, "globalTid"]
+    layers = layers.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], *[c for c in layers.columns if c not in keys]
+    )
+    same = [F.col(k) == F.col(f"_{k}") for k in STEP_KEYS]
+    same += [F.col("globalTid") <= F.col("_globalTid"), F.col("globalTid") >= F.col("_globalTid")]
+    joined = inference_stats.join(layers, reduce(and_, same), "left")
+    others = [c for c in joined.columns if c not in keys and c not in [f"_{k}" for k in keys]]
+    return joined.select(*keys, *others)
+
+
 def worker_stats(inference_stats: DataFrame, stats: DataFrame) -> DataFrame:
     """Time, bytes and weights of every worker and step; 0 where it had none. Keys stay NULL."""
-    joined = inference_stats.join(worker_layers(stats), [*STEP_KEYS, "globalTid"], "left")
-    joined = joined.withColumn(
+    joined = _with_layers(inference_stats, worker_layers(stats)).withColumn(
         "communication_throughput",
         per_second(
             F.col("communication_send_bytes") + F.col("communication_recv_bytes"),
