@@ -92,6 +92,17 @@ def test_single_results_write_only_what_they_read_twice(spark, folder):
     assert not any("timed_device" in f for f in a._of_event("compute").timed_device.inputFiles())
 
 
+@pytest.mark.parametrize("name", ["step_communication_runtime", "step_communication_transfer_device_stats"])
+def test_calls_and_device_work_save_no_sizes_of_spans(spark, folder, name):
+    queries.analysis.cache_clear()
+    before = written(spark)
+    found = queries.analysis(spark, folder).view(name)
+    assert rows(found) == rows(TraceAnalysis(fixture.trace_tables(spark, folder)).view(name)) != []
+    new = {os.path.dirname(f) for f in written(spark) - before if "/step_spans-" in f}
+    assert len(new) == 1
+    assert not {"bytes", "send_bytes", "recv_bytes"} & set(spark.read.parquet(*new).columns)
+
+
 def test_the_text_of_a_span_is_decoded_once(spark, folder):
     steps = queries.analysis(spark, folder).view("step_inference_range")
     whole = TraceAnalysis(fixture.trace_tables(spark, folder)).view("step_inference_range")

@@ -43,7 +43,8 @@ class TraceAnalysis:
     That pays where many results are wanted. With ``share=False`` each result is
     made for itself: a view of one event reads, joins and writes the rows of that
     event only, a report those of the last step, and only what a plan reads more
-    than once is written. ``events`` leaves out the spans and device work of others.
+    than once is written. ``events`` leaves out the spans and device work of others,
+    and ``sized=False`` the bytes of spans, whose JSON takes long to read.
     """
 
     def __init__(
@@ -52,11 +53,13 @@ class TraceAnalysis:
         staging: Staging | None = None,
         share: bool = True,
         events: Sequence[str] = tuple(EVENT_CALLS),
+        sized: bool = True,
     ):
         self.tables = tables
         self.staging = staging
         self.share = share or not staging
         self.events = tuple(events)
+        self.sized = sized
         # Sizes of plans are guessed; these joins have all steps on one side.
         self.large = not self.share
         self.parent: TraceAnalysis | None = None
@@ -74,10 +77,11 @@ class TraceAnalysis:
         return bool(self.tables.buckets)
 
     def _narrowed(
-        self, events: Sequence[str] | None = None, inference: DataFrame | None = None, share: bool = False
+        self, events: Sequence[str] | None = None, inference: DataFrame | None = None, share: bool = False,
+        sized: bool = True,
     ) -> TraceAnalysis:
         """The same analysis of some events, or of the given steps."""
-        found = TraceAnalysis(self.tables, self.staging, share, events or self.events)
+        found = TraceAnalysis(self.tables, self.staging, share, events or self.events, sized)
         found.inference = self.inference if inference is None else inference
         found.large = inference is None
         found.parent = self
@@ -98,7 +102,8 @@ class TraceAnalysis:
         derived = {"tid": thread_id("globalTid"), "duration": duration()}
         if not self._bounded:
             derived["pid"] = process_id("globalTid")
-        return self._shared("step_spans", found.drop(*derived)).withColumns(derived)
+        unread = [] if self.sized else ["bytes", "send_bytes", "recv_bytes"]
+        return self._shared("step_spans", found.drop(*derived, *unread)).withColumns(derived)
 
     @cached_property
     def call_names(self) -> DataFrame:
@@ -171,7 +176,9 @@ class TraceAnalysis:
             return getattr(spans, name)(self.view("step_range"))
         event = name.split("_")[1]
         if not self.share and self.events != (event,):
-            return self._of_event(event).view(name)
+            # calls and device work take only names and times from the spans
+            unsized = name.endswith(("_runtime", "_kernel", "_kernel_start", "_device_stats"))
+            return self._of_event(event, not unsized).view(name)
         if name.endswith("_runtime"):
             return calls.runtime_of(self.step_calls, event)
         if name == "step_communication_transfer_kernel_start":
@@ -190,13 +197,15 @@ class TraceAnalysis:
             return getattr(stats, name)(self.device_stats)
         return getattr(stats, name)(self.layer_stats)
 
-    def _of_event(self, event: str) -> TraceAnalysis:
-        if event not in self._of_events:
-            self._of_events[event] = self._narrowed([event])
-        return self._of_events[event]
+    def _of_event(self, event: str, sized: bool = True) -> TraceAnalysis:
+        if (event, True) in self._of_events:
+            sized = True
+        if (event, sized) not in self._of_events:
+            self._of_events[event, sized] = self._narrowed([event], sized=sized)
+        return self._of_events[event, sized]
 
     @cached_property
-    def _of_events(self) -> dict[str, TraceAnalysis]:
+    def _of_events(self) -> dict[tuple[str, bool], TraceAnalysis]:
         return {}
 
     @staticmethod
