@@ -267,6 +267,31 @@ def test_a_large_loose_group_branches(spark):
     assert sorted(map(tuple, chosen_path.near_duplicates(df).collect())) == plain_near_duplicates(rows)
 
 
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies with changes that link about half of them to the text they come from, and few to each other."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = rng.choices(vocabulary, k=100)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        text = list(base)
+        for at in rng.sample(range(100), rng.randint(4, 9)):
+            text[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(text)))
+    staged, pairs = chosen_path.staged, []
+
+    def counted(df, name):
+        table = staged(df, name)
+        if name.endswith("-pairs"):
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(chosen_path, "staged", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, chosen_path.near_duplicates(df).collect())) == plain_near_duplicates(rows)
+    assert sum(pairs) < 20 * len(rows)
+
+
 def test_trees_follow_from_the_recall():
     assert chosen_path.trees_for(0.5, 0.8, 1) == 1
     assert chosen_path.trees_for(0.9999, 0.8, 4) == 11
