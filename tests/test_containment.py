@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tracewise.operators.containment import contained_in
+from tracewise.operators.containment import contained_chain, contained_in
 
 SCHEMA = "key string, id bigint, start bigint, end bigint"
 OUTER = "key string, outer bigint, start bigint, end bigint"
@@ -116,3 +116,44 @@ def test_hot_bucket_is_split(spark):
     expected = inner.toPandas()
     known = expected[expected.key.isin({"hot"} | {f"k{n}" for n in range(1, 50)})]
     assert sorted(r["id"] for r in rows) == sorted(known.id)
+
+
+def chained(spark, inner, middle, outer, tasks=None):
+    schema = "key string, start long, end long"
+    calls = spark.createDataFrame(inner, "key string, kind int, call int, inner_start long, inner_end long")
+    spans = spark.createDataFrame(middle, "key string, kind int, span int, start long, end long")
+    steps = spark.createDataFrame(outer, "key string, step int, start long, end long")
+    sizes = spark.createDataFrame([("z", 0, 3), *[(r[0], *r[3:]) for r in middle]], schema)
+    return contained_chain(calls, spans, steps, sizes, ["key"], ["kind"], ["step"], tasks)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_a_chain_equals_two_joins_of_every_row_with_every_other(spark, seed):
+    """Nested, overlapping and equal intervals of mixed durations; spans that reach over a bucket."""
+    rng = random.Random(seed)
+
+    def interval(longest, *others):
+        start = rng.randrange(-2000, 40_000)
+        length = int(2 ** rng.uniform(0, rng.choice(longest))) - 1
+        return rng.choice("ab"), *others, start, rng.choice([start + length] * 9 + [None, start - 5])
+
+    outer = [interval([8, 15], n) for n in range(60)] + [("a", 99, -(2**60), 2**60), (None, 98, 0, 90_000)]
+    middle = [interval([1, 6, 14], rng.randrange(2), n) for n in range(200)]
+    middle += middle[:5] + [(None, 0, 300, 1, 50_000)]
+    inner = [interval([1, 3, 9], rng.randrange(2), n) for n in range(300)]
+    inner += inner[:5] + [(None, 0, 400, 5, 40_000)]
+
+    def inside(x, y):
+        known = None not in (x[0], x[-1], y[-1])
+        return known and x[0] == y[0] and y[-2] < x[-2] <= x[-1] < y[-1]
+
+    expected = []
+    for s in outer:
+        for m in (m for m in middle if inside(m, s)):
+            expected.append((s[1], m[2], -1))
+            expected += [(s[1], m[2], c[2]) for c in inner if c[1] == m[1] and inside(c, m)]
+    assert len({c for *_, c in expected}) > 20
+    for tasks in (None, 7):
+        rows = chained(spark, inner, middle, outer, tasks).collect()
+        found = [(r["step"], r["span"], -1 if r["call"] is None else r["call"]) for r in rows]
+        assert sorted(found) == sorted(expected)

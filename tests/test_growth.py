@@ -1,12 +1,15 @@
 """What queries write and join does not depend on guesses, and grows with the tables."""
 
+import math
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from entry import fixture, queries
+from tracewise.plans import analysis as analysis_module
 from tracewise.plans import worker
 from tracewise.plans.analysis import TraceAnalysis
 
@@ -138,3 +141,90 @@ def test_layers_of_another_thread_are_not_a_workers(spark):
     found = worker._with_layers(steps, layers)
     assert found.columns[:5] == ["run_id", "step_id", "rank", "local_rank", "globalTid"]
     assert {(r["globalTid"], r["size"]) for r in found.collect()} == {(1, 10), (2, None), (None, None)}
+
+
+def test_spans_steps_and_calls_are_shuffled_once(spark, folder):
+    """Before, spans and calls were shuffled for each of three joins, and device work three times more."""
+    a = queries.analysis(spark, folder)
+    for result, most in ((a.layer_parts, 3), (a.worker_stats, 5), (a.system_stats, 7)):
+        placed = re.findall(r"Exchange hashpartitioning\((.*)", plan_of(result))
+        # then the parts, the steps where they are not broadcast, and for the system two of power samples
+        assert 3 <= len(placed) <= most
+        assert not any(re.search("correlationId|kernel_start|event_name", keys) for keys in placed)
+
+
+def test_what_was_shuffled_for_a_written_table_goes_with_its_job(spark, folder):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        blocks = manager.getAllBlocks()
+        return {str(blocks.apply(n)) for n in range(blocks.size()) if str(blocks.apply(n)).startswith("shuffle")}
+
+    queries.analysis.cache_clear()
+    a = queries.analysis(spark, folder)
+    a.inference, a.call_names
+    before = shuffled()
+    assert all("timed_device" in f for f in a.timed_calls.inputFiles())
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
+def odd_traces(spark, make):
+    """Two workers of a step, and steps, spans, calls and kernels that are not as they should be."""
+    from tracewise.schemas import SCHEMAS, TraceTables
+
+    def tid(process):
+        return process << 24 | 1
+
+    def step(rank, number=0):
+        return f'{{"event": "inference", "name": "inference", "rank": {rank}, "local_rank": {rank},' \
+               f' "step": {number}, "batch_size": 4}}'
+
+    shared = '{"event": "communication", "name": "all_to_all", "send_tensors": [[[4], "int32"]], "recv_tensors": []}'
+    mlp = '{"event": "compute", "name": "bottom_mlp", "weights": [[[8], "float16"]]}'
+    copied = '{"event": "input", "name": "input", "tensor": [[16], "float32"]}'
+    spans, runtime, kernels, copies = [], [], [], []
+    for process, (rank, number) in enumerate([(0, 0), (1, 0), ("null", 0), (0, 0), (2, "null"), (3, 1)], 1):
+        t, at = tid(process), process * 7
+        spans += [("r", t, 59, 0, 100_000, step(rank, number)), ("r", t, 59, 10 + at, 20_000, shared),
+                  ("r", t, 59, 10 + at, 15_000, shared), ("r", t, 59, 30_000, 40_000, mlp),
+                  ("r", t, 59, 30_000, 39_000, mlp), ("r", t, 59, 45_000, 45_000, mlp),
+                  ("r", t, 59, 50_000, 60_000, copied), ("r", t, 59, 52_000, 58_000, copied),
+                  ("r", t, 59, 70_000, 71_000, '{"event": "compute", "weights": []}'),
+                  ("r", t, 59, 80_000, 90_000, '{"event": "output", "name": "output", "tensor": []}')]
+        for n, (start, name) in enumerate([(100, 2), (200, 2), (16_000, 2), (31_000, 2), (53_000, 1), (54_000, 1),
+                                           (70_500, 2), (95_000, 2), (81_000, 2), (31_500, 4)]):
+            runtime.append(("r", t, start, start + 50, n, name))
+            work = ("r", process << 24, start + 500 + at * n, start + 900 + at * n + rank_of(rank), n)
+            copies.append((*work, 64)) if name == 1 else kernels.append(work)
+        kernels += [("r", process << 24, None, 5, 0), ("r", process << 24, 700, None, 1), kernels[-1]]
+    names = [("r", 1, "cudaMemcpyAsync"), ("r", 2, "cudaLaunchKernel"), ("r", 4, "MemcpyLaunchKernel")]
+    rows = {"spans": spans + spans[:3], "runtime": runtime + runtime[:1], "kernels": kernels, "copies": copies,
+            "string_ids": names, "power": [("r", 0, "g", 100.0)]}
+    return TraceTables(**{name: make(name, rows[name]) for name in SCHEMAS})
+
+
+def rank_of(rank):
+    return rank if isinstance(rank, int) else 9
+
+
+def test_worker_and_system_stats_of_odd_traces(spark, make, staging):
+    """Shared results take the joins one by one; a result alone equals them."""
+    tables = odd_traces(spark, make)
+    whole, alone = TraceAnalysis(tables, staging), TraceAnalysis(tables, staging, share=False)
+    for name in ("worker_stats", "system_stats"):
+        assert rows(getattr(alone, name)) == rows(getattr(whole, name)) != []
+    workers = alone.worker_stats.collect()
+    assert any(r["communication_wait_device_duration"] for r in workers)
+    assert any(r["input_throughput"] for r in workers)
+
+
+def test_tasks_grow_with_the_calls(spark, folder, monkeypatch):
+    monkeypatch.setattr(analysis_module, "_ROWS_PER_TASK", 50)
+    queries.analysis.cache_clear()
+    many = queries.analysis(spark, folder)
+    assert many._tasks == math.ceil((many.timed_calls.count() + many.inference.count()) / 50) > 4
+    assert rows(many.system_stats) == rows(TraceAnalysis(fixture.trace_tables(spark, folder)).system_stats)
+    queries.analysis.cache_clear()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import cached_property
 
@@ -14,6 +15,7 @@ from tracewise.operators.lookup import last_step
 from tracewise.plans import calls, quality, reports, spans, stats, system, worker
 from tracewise.schemas import EVENT_CALLS, STEP_KEYS, TraceTables
 from tracewise.session import Staging
+from tracewise.sources.layout import BUCKET_SETTING
 
 _VIEWS = [
     "step_inference_range", "step_range",
@@ -33,6 +35,10 @@ _VIEWS = [
 ]
 
 
+# Calls and steps of a task, which sorts them, the spans around them and both together.
+_ROWS_PER_TASK = 500_000
+
+
 class TraceAnalysis:
     """Statistics of the given tables.
 
@@ -69,7 +75,7 @@ class TraceAnalysis:
             return df
         if self.tables.buckets and "pid" in df.columns:
             return self.staging.bucketed(name, df, self.tables.buckets)
-        return self.staging.table(name, df)
+        return self.staging.table(name, df, tidy=True)
 
     @property
     def _bounded(self) -> bool:
@@ -146,8 +152,38 @@ class TraceAnalysis:
     def device_stats(self) -> DataFrame:
         return stats.device_stats(self.timed_device)
 
+    @cached_property
+    def timed_calls(self) -> DataFrame:
+        """Device work with the times of its calls, wherever they are.
+
+        Written, so that what was shuffled for it can go before the rest is shuffled.
+        """
+        t = self.tables
+        found = calls.timed_calls(t.runtime, self.call_names, t.kernels, t.copies)
+        return self._shared("timed_device", found)
+
+    @cached_property
+    def layer_parts(self) -> DataFrame:
+        """Spans and device work of all events for one result, added up by layer where they are joined."""
+        t = self.tables
+        # these joins, and that with the inference steps, have more keys than rows are placed by
+        t.spans.sparkSession.conf.set(BUCKET_SETTING, "false")
+        decoded = spans.sized_spans(t.spans, ["run_id", "globalTid"], self.events)
+        found = spans.sizes(t.spans, self.events)
+        return stats.layer_parts(decoded, self.inference, found, self.timed_calls, self._tasks)
+
+    @cached_property
+    def _tasks(self) -> int | None:
+        """Tasks for the joins of all steps: more than the session has where the rows of one would spill."""
+        rows = self.timed_calls.count() + self.inference.count()  # of written tables, read from their ends
+        needed = math.ceil(rows / _ROWS_PER_TASK)
+        session = int(self.tables.spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return needed if needed > session else None
+
     @cached_property
     def layer_stats(self) -> DataFrame:
+        if not self.share and not self._bounded and len(self.events) == len(EVENT_CALLS):
+            return stats.layers_of_parts(self.layer_parts, self._tasks)
         return stats.layer_stats(self.step_spans, self.timed_device, self.events)
 
     @cached_property

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.scalars import _literal_map, duration, per_second, process_of, thread_id
+from tracewise.functions.scalars import _literal_map, duration, per_second, process_id, process_of, thread_id
 from tracewise.operators.containment import contained_in
 from tracewise.plans.spans import POSITION, STEP_COLUMNS
 from tracewise.schemas import CALL_PATTERNS, EVENT_CALLS
@@ -37,6 +37,12 @@ def _kinds(events: Sequence[str]) -> list[str]:
     return sorted({EVENT_CALLS[event] for event in events})
 
 
+def call_codes(kinds: dict) -> Column:
+    """A map from its keys to small numbers for their kinds of calls."""
+    every = _kinds(EVENT_CALLS)
+    return _literal_map({key: every.index(kind) for key, kind in kinds.items()})
+
+
 def step_runtime(
     steps: DataFrame,
     runtime: DataFrame,
@@ -73,6 +79,52 @@ def step_runtime(
     )
 
 
+def timed_calls(
+    runtime: DataFrame, names: DataFrame, kernels: DataFrame, copies: DataFrame
+) -> DataFrame:
+    """Host calls with the device work they started, wherever they are.
+
+    A call's times are ``inner_start`` and ``inner_length``, its kind is a number, and
+    ``apart`` is its work's start as ``work_time`` has it: what follows a time takes less
+    room than another time.
+    """
+    kinds = _kinds(EVENT_CALLS)
+    code = call_codes({kind: kind for kind in kinds})[F.col("call_kind")].cast("tinyint")
+    calls = runtime.join(names, ["run_id", "nameId"]).select(
+        F.col("start").alias("inner_start"), duration().alias("inner_length"), "correlationId", "run_id",
+        "globalTid", code.alias("kind"),
+    )
+
+    def activity(df, kind, size):
+        return df.select(
+            F.col("start").alias("work_start"),
+            duration().alias("work_duration"),
+            F.col("correlationId").alias("_correlationId"),
+            F.col("run_id").alias("_run_id"),
+            process_of(df).alias("_pid"),
+            F.lit(kinds.index(kind)).cast("tinyint").alias("_kind"),
+            size.alias("work_bytes"),
+        )
+
+    works = activity(kernels, "launch", F.lit(None).cast("bigint")).unionByName(
+        activity(copies, "copy", F.col("bytes"))
+    )
+    # in this order the calls of a thread come together, and take less room
+    same = (
+        (F.col("run_id") == F.col("_run_id")) & (process_id("globalTid") == F.col("_pid"))
+        & (F.col("kind") == F.col("_kind")) & (F.col("correlationId") == F.col("_correlationId"))
+    )
+    return calls.join(works.hint("merge"), same).select(
+        "inner_start", "inner_length", work_time("work_start").alias("apart"),
+        "work_duration", "run_id", "globalTid", "kind", "work_bytes",
+    )
+
+
+def work_time(time: str) -> Column:
+    """``work_start`` by the bits in which it differs from its call's start, or back from these."""
+    return F.col(time).bitwiseXOR(F.col("inner_start"))
+
+
 def runtime_of(calls: DataFrame, event: str) -> DataFrame:
     value = ["event_value"] if event in ("compute", "communication") else []
     return calls.filter(F.col("event_name") == event).select(

@@ -126,6 +126,33 @@ def step_communication_range(steps: DataFrame) -> DataFrame:
     return _range_of(steps, "communication", "send_tensors", "recv_tensors")
 
 
+def _texts(spans: DataFrame, events: Sequence[str] | None = None) -> DataFrame:
+    """Spans with a text, that can mean one of the events if these are given."""
+    texts = _push_pop(spans).filter(F.col("text") != "")
+    return texts if events is None else texts.filter(_mentions(F.col("text"), *events))
+
+
+def sizes(spans: DataFrame, events: Sequence[str]) -> DataFrame:
+    """When the spans that can mean one of the events start and end; no JSON is parsed."""
+    return _texts(spans, events).select("start", "end")
+
+
+def sized_spans(spans: DataFrame, keys: Sequence[str], events: Sequence[str] | None = None) -> DataFrame:
+    """Spans with the bytes their text describes instead of the text."""
+    decoded = decode_spans(_texts(spans, events))
+    if events is not None:
+        decoded = decoded.filter(F.col("event_name").isin(*events))
+    event = F.col("event_name")
+    return decoded.select(
+        *keys, "event_name", "event_value", "start", "end",
+        F.when(event.isin("input", "output"), tensor_bytes(F.col("tensor")))
+        .when(event == "compute", tensors_bytes(F.col("weights")))
+        .alias("bytes"),
+        F.when(event == "communication", tensors_bytes(F.col("send_tensors"))).alias("send_bytes"),
+        F.when(event == "communication", tensors_bytes(F.col("recv_tensors"))).alias("recv_bytes"),
+    )
+
+
 def step_spans(
     spans: DataFrame,
     inference: DataFrame,
@@ -139,23 +166,8 @@ def step_spans(
     span. Sizes are computed before the join, so the text is never shuffled.
     With ``events``, other spans are left out before their JSON is parsed.
     """
-    texts = _push_pop(spans).filter(F.col("text") != "")
-    if events is None:
-        decoded = decode_spans(texts)
-    else:
-        decoded = decode_spans(texts.filter(_mentions(F.col("text"), *events))).filter(
-            F.col("event_name").isin(*events)
-        )
-    event = F.col("event_name")
     keys = _span_keys(bounded)
-    inner = decoded.select(
-        *keys, "event_name", "event_value", "start", "end",
-        F.when(event.isin("input", "output"), tensor_bytes(F.col("tensor")))
-        .when(event == "compute", tensors_bytes(F.col("weights")))
-        .alias("bytes"),
-        F.when(event == "communication", tensors_bytes(F.col("send_tensors"))).alias("send_bytes"),
-        F.when(event == "communication", tensors_bytes(F.col("recv_tensors"))).alias("recv_bytes"),
-    )
+    inner = sized_spans(spans, keys, events)
     inside = contained_in(inner, inference, keys, STEP_COLUMNS, bounded, large)
     return _with_position(inside).select(
         "run_id", *STEP_COLUMNS, *POSITION, "event_name", "event_value", "start", "end",

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.plans.calls import split_wait
+from tracewise.functions.scalars import _literal_map, per_second
+from tracewise.operators.containment import PLACE, contained_chain
+from tracewise.plans.calls import call_codes, split_wait, work_time
+from tracewise.plans.spans import STEP_COLUMNS
 from tracewise.schemas import EVENT_CALLS, STEP_KEYS
 
 # Inputs and outputs are not told apart by name, so their layer is ''.
@@ -187,6 +190,116 @@ def layer_stats(
     )
 
 
+def layer_parts(
+    spans: DataFrame, inference: DataFrame, sizes: DataFrame, calls: DataFrame, tasks: int | None = None
+) -> DataFrame:
+    """Host and device side of every layer, added up as far as its rows are in one task.
+
+    ``spans`` are those of the events, with their bytes, ``calls`` those with the device
+    work they started. Spans, steps and calls are each shuffled once, by thread and time;
+    what is shuffled after that are these parts, few for a layer. Kernels of a
+    communication are told apart, as how long each waited is not known yet. Events are
+    numbers in the order of ``EVENT_CALLS``.
+    """
+    codes = _literal_map({event: n for n, event in enumerate(_EVENTS)})[F.col("event_name")]
+    named = _with_layer(spans).withColumn("event", codes.cast("tinyint"))
+    owners = named.select(
+        "run_id", "globalTid", "start", "end", "send_bytes", "recv_bytes", "bytes", "event", "layer"
+    )
+    kinds = call_codes({n: EVENT_CALLS[event] for n, event in enumerate(_EVENTS)})
+    owners = owners.withColumn("kind", kinds[F.col("event").cast("int")].cast("tinyint"))
+    timed = calls.withColumn("inner_end", F.col("inner_start") + F.col("inner_length")).drop("inner_length")
+    found = contained_chain(
+        timed, owners, inference, sizes, ["run_id", "globalTid"], ["kind"], STEP_COLUMNS, tasks
+    )
+    work = F.col("inner_start").isNotNull()
+    shared = work & (F.col("event") == _EVENTS.index("communication"))
+    device = work & ~shared
+    rate = F.when(device, per_second(F.col("work_bytes"), F.col("work_duration")))
+    keys = ["step_id", "run_id", "globalTid", *PLACE, "rank", "local_rank", "event", "layer"]
+    return (
+        found.withColumns(
+            {
+                "kernel_start": F.when(shared, work_time("apart")),
+                "kernel_duration": F.when(shared, F.col("work_duration")),
+            }
+        )
+        .groupBy(*keys, "kernel_start", "kernel_duration")
+        .agg(
+            F.count(F.when(work, 1)).alias("works"),
+            F.min(F.when(~work, F.struct("start", "end"))).alias("first"),
+            F.sum(F.when(~work, F.col("end") - F.col("start"))).alias("duration_sum"),
+            *[F.sum(F.when(~work, F.col(c))).alias(c) for c in ("bytes", "send_bytes", "recv_bytes")],
+            F.sum(F.when(device, F.col("work_duration"))).alias("device_duration"),
+            F.sum(F.when(device, F.col("work_bytes"))).alias("device_bytes"),
+            F.sum(rate).alias("rates"),
+            F.count(rate).alias("rated"),
+        )
+        # what the parts of a worker's step have in common stands together, and takes little room so
+        .select(
+            "step_id", "run_id", "globalTid", "rank", "local_rank", "works", "rated", "send_bytes",
+            "recv_bytes", "bytes", "device_bytes", F.col("first.start").alias("first_start"),
+            (F.col("first.end") - F.col("first.start")).alias("first_duration"), "duration_sum",
+            "device_duration", "rates", "kernel_start", "kernel_duration", "event", "layer",
+        )
+    )
+
+
+def layers_of_parts(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``layer_stats`` from their parts, placed by step for all that follows.
+
+    The last start of a communication is looked up among the parts of its step: kernels
+    are not shuffled for it again. One sort serves that and the sums.
+    """
+    layer = ["step_id", "run_id", "event", "layer"]
+    keys = [*layer, "rank", "local_rank"]
+    joined = F.max("kernel_start").over(Window.partitionBy(*layer))
+    start, end = F.col("kernel_start"), F.col("kernel_start") + F.col("kernel_duration")
+    early = end <= F.col("_joined")
+    names = _literal_map(dict(enumerate(_EVENTS)))
+    return (
+        parts.repartition(*([tasks] if tasks else []), "run_id", "step_id")
+        .sortWithinPartitions(*keys)
+        .withColumn("_joined", joined)
+        .na.drop(subset=keys)
+        .withColumns(
+            {
+                "wait": F.when(early, F.lit(0)).otherwise(F.col("_joined") - start) * F.col("works"),
+                "transfer": F.when(early, F.col("kernel_duration")).otherwise(end - F.col("_joined"))
+                * F.col("works"),
+                "_first": F.when(
+                    F.col("first_start").isNotNull(),
+                    F.struct("first_start", "first_duration", "globalTid"),
+                ),
+            }
+        )
+        .groupBy(*keys)
+        .agg(
+            F.sum("works").alias("works"),
+            F.min("_first").alias("_first"),
+            F.sum("duration_sum").alias("host_duration_sum"),
+            F.sum("bytes").alias("host_bytes"),
+            F.sum("send_bytes").alias("send_bytes"),
+            F.sum("recv_bytes").alias("recv_bytes"),
+            F.sum("device_duration").alias("device_duration"),
+            F.sum("device_bytes").alias("device_bytes"),
+            F.try_divide(F.sum("rates"), F.sum("rated")).alias("throughput"),
+            F.sum("wait").alias("wait"),
+            F.sum("transfer").alias("transfer"),
+        )
+        # work is inside a span of its layer, so there is one
+        .filter(F.col("works") > 0)
+        .withColumns(
+            {
+                "event_name": names[F.col("event").cast("int")],
+                "globalTid": F.col("_first.globalTid"),
+                "host_duration": F.col("_first.first_duration"),
+            }
+        )
+        .drop("event", "works", "_first")
+    )
+
+
 _HOST = ["host_duration", "host_duration_sum"]
 
 
